@@ -28,10 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._shared import drop_path, join_hot, written, written_at
+from ._shared import drop_path, join_hot, row_key, written, written_at
 
 #: Up to this many fingerprints under one variant are compared directly.
 GROUP = 2_048
@@ -64,16 +65,16 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """``doc_id`` and ``fp`` (the fingerprint's 64 bits as a long) of every row."""
+def fingerprints(docs: DataFrame, id_: Column, text_col: str = "text", words: int = 3) -> DataFrame:
+    """``id`` and ``fp`` (the fingerprint's 64 bits as a long) of every row."""
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.fromiter((fingerprint(x.as_py(), words) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(of_batches, "doc_id long, fp long")
+    rows = docs.select(id_.alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(of_batches, T.StructType([rows.schema["id"], T.StructField("fp", T.LongType())]))
 
 
 def _ranges(free: list[tuple[int, int]], parts: int) -> list[list[tuple[int, int]]]:
@@ -253,21 +254,34 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("root")))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2, group: int = GROUP) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id`` of every row of ``docs``.
+def near_duplicates(docs: DataFrame, id_: Column | str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2, group: int = GROUP) -> DataFrame:
+    """``id``, ``fp`` and ``component_id`` of every row of ``docs``.
 
     ``component_id`` is the smallest id of the documents that can be reached
     over links, the document itself included.
     """
-    rows = written(fingerprints(docs, id_col, text_col, words), "prints")
-    prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
+    rows = written(fingerprints(docs, F.col(id_) if isinstance(id_, str) else id_, text_col, words), "prints")
+    prints = written(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct")
     part_of = components(links(prints, max_bits, group))
     part_of = prints.join(part_of, prints["fp"] == part_of["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     part_of = written(part_of, "parts")
-    least = part_of.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("k"))
+    least = part_of.groupBy("root").agg(F.min("least").alias("component_id"))
     table = part_of.join(least, "root").select("fp", "n", "component_id")
-    out = join_hot(rows, table, "fp", "n", rows.count(), "inner")
-    return out.select("doc_id", "fp", "component_id")
+    return join_hot(rows, table, "fp", "n", rows.count(), "inner").select("id", "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2) -> DataFrame:
+    """The columns and rows of ``docs``, of each group the first row only.
+
+    First is by id, null ids last, then by the text's hash; of equal rows one
+    stays.
+    """
+    key = row_key(id_col, text_col)
+    order = F.struct(F.col(id_col).isNull().alias("none"), key.alias("key"))
+    groups = near_duplicates(docs, order, text_col, words, max_bits)
+    first = written(groups.select(F.col("component_id.key").alias("key")).distinct(), "first")
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key")).join(first, "key", "left_semi")
+    return rows.groupBy("key").agg(F.first("row").alias("row")).select("row.*")
 
 
 def hex_print(col: str = "fp"):
