@@ -2,9 +2,246 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from ..config import ConvertOptions, IngestOptions
+from ..functions import matching, metrics, naming, urls
+from ..operators import codecs, grouping, limits, outcomes
+from ..shipping import ship
+from ..storage import as_folder, scratch
+from ..streaming.landing import ingest_stream, stream_landing
+from . import oracles
+from .ingest import convert, ingest, plan_ingest
+from .views import OPTIONS, file_records
+
+EVENT_KEYS = ["click", "pur*", "*i*", "view"]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return file_records(_table(spark, sf_dir, "documents"))
+
+
+def route_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and bytes by matched key, route and backup tier."""
+    planned = plan_ingest(_files(spark, sf_dir), OPTIONS)
+    return grouping.totals(planned, ["match_key", "route", "backup_tier"])
+
+
+def generated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slug, generated name, converted name and output type of every file."""
+    files = _files(spark, sf_dir)
+    name, kind = F.col("originalname"), F.col("mimetype")
+    made = files.select("arrival_idx", naming.slugify(naming.stem(name)).alias("slug"), naming.generated_name(name, F.col("fieldname"), kind, F.col("arrival_idx")).alias("generated"))
+    return made.select("*", naming.converted_name(F.col("generated"), F.lit("WebP")).alias("converted"), naming.output_mimetype(F.lit("WebP")).alias("mimetype"))
+
+
+def group_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of each request and field, in order of arrival."""
+    lists = grouping.by_field(_files(spark, sf_dir), ["originalname", "size"])
+    names = F.array_join(F.transform("files", lambda f: f["originalname"]), "|")
+    total = F.aggregate("files", F.lit(0).cast("long"), lambda n, f: n + f["size"])
+    return lists.select("request_id", "fieldname", F.size("files").cast("long").alias("n_files"), names.alias("names"), total.alias("n_bytes"))
+
+
+def wildcard_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by the first key that matches their type."""
+    events = _table(spark, sf_dir, "events").withColumn("match_key", matching.match_key(F.col("event_type"), EVENT_KEYS))
+    return events.groupBy("event_type", "match_key").agg(F.count("*").alias("n"))
+
+
+def allow_list_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the types that some key matches."""
+    events = _table(spark, sf_dir, "events").filter(matching.allowed(F.col("event_type"), ["click", "pur*"]))
+    return events.select("event_id", "event_type")
+
+
+def default_config_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of event types by exact key, defaults for all others."""
+    from .ingest import _settings
+
+    options = ConvertOptions(fields={"click": {"format": "png", "quality": 60}, "pur*": {"output": "disk"}, "view": {"keep_original": True}})
+    events = _table(spark, sf_dir, "events").withColumn("match_key", matching.match_key(F.col("event_type"), list(options.fields), wildcards=False))
+    return _settings(events, options.fields).groupBy("event_type", "output", "format", "quality", "keep_original").agg(F.count("*").alias("n"))
+
+
+def size_limit_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of the conversations in which no turn is above the limit."""
+    turns = _table(spark, sf_dir, "conversations").withColumn("size", F.octet_length("text").cast("long"))
+    return limits.within_limit(turns, 600, "conv_id").select("conv_id", "turn", "size")
+
+
+def rejected_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with a turn above the limit, and its size."""
+    turns = _table(spark, sf_dir, "conversations").withColumn("size", F.octet_length("text").cast("long"))
+    return limits.rejected_requests(turns, 600, "conv_id")
+
+
+def spill_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each file's backup would be kept."""
+    return _files(spark, sf_dir).select("arrival_idx", "size", matching.backup_tier(F.col("size"), 4096).alias("tier"))
+
+
+def savings_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a conversion to seven tenths, less 100 bytes, would save."""
+    sizes = _files(spark, sf_dir).select("arrival_idx", F.col("size").alias("original"), (F.floor(F.col("size") * 7 / 10) - 100).alias("converted"))
+    ratio = metrics.savings_ratio(F.col("original"), F.col("converted"))
+    return sizes.select("arrival_idx", F.round(ratio, 6).alias("ratio"), F.round(metrics.guarded_savings(F.col("original"), F.col("converted")), 6).alias("guarded"))
+
+
+def cloud_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Public URLs of every page as an object."""
+    key = F.concat(F.lit("page-"), F.col("page_id"), F.lit(".html"))
+    domain = F.when(F.col("page_id") % 3 == 0, F.lit("https://cdn.example.com"))
+    pages = _table(spark, sf_dir, "pages")
+    return pages.select("page_id", urls.s3_url(F.lit("corpus"), F.lit("eu-west-1"), key, domain).alias("s3"), urls.gcs_url(F.lit("corpus"), key, domain).alias("gcs"))
+
+
+def resource_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resource types by MIME type, and by name where there is none."""
+    pages = _table(spark, sf_dir, "pages")
+    kind = F.element_at(F.array(*map(F.lit, ("Image/PNG", "video/mp4", "application/pdf", ""))), (F.col("page_id") % 4 + 1).cast("int"))
+    return pages.select("page_id", urls.resource_type(F.nullif(kind, F.lit("")), F.col("url")).alias("by_url"), urls.resource_type(F.lit(None).cast("string"), F.concat("page_id", F.element_at(F.array(F.lit(".MP4"), F.lit(".pdf"), F.lit("."), F.lit("")), (F.col("page_id") % 4 + 1).cast("int")))).alias("by_name"))
+
+
+def path_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last segment, stem and extension of every page's url."""
+    url = F.col("url")
+    return _table(spark, sf_dir, "pages").select("page_id", naming.base_name(url).alias("base"), naming.stem(url).alias("stem"), naming.extension(url).alias("ext"))
+
+
+def outcome_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ends of all files, with failures planted by id, and what they record."""
+    planned = plan_ingest(_files(spark, sf_dir), OPTIONS)
+    i, convert_, stores = F.col("arrival_idx"), F.col("route").endswith("_convert"), F.col("route").rlike("^(disk|cloud)_")
+    bad = convert_ & (i % 3 == 0)
+    none = F.lit(None).cast("string")
+    played = planned.withColumns(
+        {
+            "converted": F.when(convert_ & ~bad, F.substring("content", 1, 100)),
+            "convert_error": F.when(F.col("route") == "skipped", F.lit("unsupported")).when(bad, F.lit("cannot decode")),
+            "store_error": F.when(stores & (i % 4 == 0), F.lit("cannot write")),
+            "backup_error": F.when(bad & stores & (i % 6 == 0), F.lit("cannot write backup")),
+            "stored_path": none,
+            "stored_name": none,
+            "cloud": F.lit(None).cast(outcomes.CLOUD),
+        }
+    )
+    ended = outcomes.ingest_outcome(played, OPTIONS.safe_file)
+    errors = F.concat_ws(",", *[F.when(F.col("_metadata.errors")[e].isNotNull(), F.lit(e)) for e in outcomes.ERRORS])
+    flags = [F.col("_metadata")[f].alias(f) for f in ("isBackupFallback", "isSkipped", "isProcessed")]
+    sums = [F.sum(c).alias(f"sum_{c}") for c in ("result_size", "originalSize", "convertedSize")]
+    return ended.select("route", "outcome", *flags, errors.alias("errors"), "result_size", "originalSize", "convertedSize").groupBy("route", "outcome", "isBackupFallback", "isSkipped", "isProcessed", "errors").agg(F.count("*").alias("n"), *sums)
+
+
+def convert_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversion in memory with a codec that refuses files that begin with E."""
+
+    def shorten(data: bytes, quality: float) -> bytes:
+        if data[:1] == b"E":
+            raise codecs.UnsupportedImage("begins with E")
+        return data[: len(data) * int(quality) // 100]
+
+    options = ConvertOptions(fields={"src1": {"quality": 50, "format": "png"}, "src0": {"keep_original": True}}, safe_file=True)
+    done = convert(_files(spark, sf_dir), options, codecs={"webp": shorten, "png": shorten})
+    return done.select("arrival_idx", "outcome", "mimetype", "size", "originalSize", "convertedSize", F.col("_metadata.errors.conversion").alias("conversion"), F.octet_length("buffer").cast("long").alias("n_buffer"))
+
+
+def transcode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a grey PNG, converted to TIFF; checksums of the pixels of both."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                raw = np.frombuffer(batch.column(1)[i].as_py() or b" ", np.uint8)
+                pixels = np.pad(raw, (0, -len(raw) % 64), constant_values=32).reshape(-1, 64, 1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([codecs.encode_png(pixels)]), pa.array(["tiff"]), pa.array([80.0])], ["doc_id", "content", "format", "quality"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [[zlib.crc32(codecs.decode(x.as_py()).tobytes()) for x in batch.column(c)] for c in (1, 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, sums)], ["doc_id", "png_crc32", "tiff_crc32"])
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    images = docs.mapInArrow(draw, "doc_id long, content binary, format string, quality double")
+    done = codecs.convert_content(images).select("doc_id", "content", "converted")
+    return done.mapInArrow(read, "doc_id long, png_crc32 long, tiff_crc32 long")
+
+
+def _run_once(result: DataFrame, spark: SparkSession, name: str) -> DataFrame:
+    """Write a result, and with it the files it stores, and read it."""
+    path = scratch(spark, name)
+    result.write.parquet(path)
+    return spark.read.schema(result.schema).parquet(path)
+
+
+def sink_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's file stored on disk, and read back from there."""
+    root = as_folder(scratch(spark, "files"))
+    options = IngestOptions(fields={"*": {"output": "disk", "keep_original": True}}, output_dir="landed")
+    done = _run_once(ingest(_files(spark, sf_dir), options, root=root), spark, "stored")
+    back = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{root}")
+    back = back.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("stored_size"), F.md5("content").alias("md5"))
+    return done.join(back, "filename", "left").select("arrival_idx", "outcome", "size", "stored_size", "md5")
+
+
+def cloud_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's file sent to an emulated store whose first upload of each key fails."""
+    root = as_folder(scratch(spark, "objects"))
+    cloud = {"cloud_storage": True, "cloud_provider": "emulator", "cloud_config": {"root": root, "bucket": "corpus", "fail_first": 1}}
+    options = IngestOptions(fields={"src1*": cloud | {"keep_original": True}, "*": {"keep_original": True}}, safe_file=True)
+    done = _run_once(ingest(_files(spark, sf_dir), options), spark, "sent")
+    return done.select("arrival_idx", "outcome", "match_key", "cloudProvider", "cloudBucket", "cloudSize", "cloudETag")
+
+
+def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items land as files and a stream ingests them."""
+    root = as_folder(scratch(spark, "landing"))
+    items = _table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("arrival_idx"), F.lit("r").alias("request_id"), F.concat(F.lit("field"), F.col("item_id") % 3).alias("fieldname"), F.concat("item_id", F.lit(".txt")).alias("originalname"), F.lit("binary").alias("encoding"), F.lit("text/plain").alias("mimetype"), F.lit(None).cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"), F.octet_length("text").cast("long").alias("size")
+    )
+    fields = {f"field{i}": {"output": "disk", "output_dir": f"in/req/field{i}"} for i in range(3)}
+    _run_once(ingest(items, IngestOptions(fields=fields), root=root), spark, "landed")
+    out, checkpoint = scratch(spark, "ingested"), scratch(spark, "progress")
+    options = IngestOptions(fields={"field0": {}, "field1*": {}})
+    query = ingest_stream(stream_landing(spark, f"file://{root}/in", max_files=16), options, out, checkpoint)
+    query.awaitTermination()
+    done = spark.read.option("recursiveFileLookup", "true").parquet(out)
+    return done.groupBy("request_id", "fieldname", "outcome", "mimetype").agg(F.count("*").alias("n_files"), F.sum("size").alias("n_bytes"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        route_summary,
+        generated_names,
+        group_by_field,
+        wildcard_match,
+        allow_list_filter,
+        default_config_lookup,
+        size_limit_reject,
+        rejected_requests,
+        spill_tier,
+        savings_metric,
+        cloud_urls,
+        resource_type,
+        path_parse,
+        outcome_matrix,
+        convert_run,
+        transcode,
+        sink_commit,
+        cloud_upload,
+        streaming_ingest,
+    )
+}
+ORACLE_SQL: dict[str, str] = oracles.SQL
