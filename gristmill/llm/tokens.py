@@ -27,11 +27,11 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Bytes of text that are encoded at once.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 #: Distinct words kept; beyond it a worker starts anew.
-KEPT_WORDS = 1_500_000
+KEPT_WORDS = 1_000_000
 #: Tokens put together at once.
-_GATHER = 1 << 21
+_GATHER = 1 << 19
 _JOINED = 256
 #: Stands before the first word of a text, which no space leads.
 _MARK = "\x01"
