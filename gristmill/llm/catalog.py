@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
@@ -91,7 +92,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
+
+def _spelled(rule: secrets.Rule) -> tuple[str, str, int, int]:
+    """A rule for SQL, whose engine also folds letters beyond ASCII."""
+    pattern = rule.pattern
+    if rule.flags & re.IGNORECASE:
+        words = "password passwd secret token api key".split()
+        for word in words:
+            pattern = re.sub(rf"(?<![A-Za-z]){word}(?![A-Za-z])", "".join(f"[{c.upper()}{c}]" for c in word), pattern)
+    return rule.kind, pattern, rule.group, rule.least
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_secret_scans": oracles.secret_scans([_spelled(r) for r in secrets.RULES], len(secrets.BASE_RULES)),
     "op3_exact_top_k": oracles.EXACT_TOP_K,
     "op4_chat_formatting": oracles.CHAT_FORMATTING,
     "op5_benchmark_decontamination": oracles.BENCHMARK_DECONTAMINATION,

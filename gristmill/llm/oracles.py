@@ -87,3 +87,37 @@ SELECT d.doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(left_over, '') E
   coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+
+def secret_scans(rules, n_base: int) -> str:
+    """SQL for the secret scan.  Marks stand around each match; (pieces of) the
+    text between marks then give the places.  The marks are control characters
+    that stand for nothing in the texts.
+
+    ``rules`` are (kind, expression, group, least length); the expressions are
+    plain enough to mean the same to both engines, with both cases spelled out.
+    """
+    parts = []
+    for order, (kind, pattern, group, least) in enumerate(rules):
+        quoted = pattern.replace("'", "''")
+        parts.append(f"""
+  SELECT doc_id, {order} AS o, '{kind}' AS kind, {least} AS least, i, p, left(p, strpos(p, chr(2)) - 1) AS m,
+    regexp_extract(left(p, strpos(p, chr(2)) - 1), '{quoted}', {group}) AS g
+  FROM (
+    SELECT doc_id, unnest(ps) AS p, unnest(range(0, len(ps))) AS i
+    FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '{quoted}', chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS ps FROM documents))""")
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{rules[k][0]}') AS n_{rules[k][0]}" for k in range(n_base))
+    return f"""
+WITH pieces AS ({" UNION ALL ".join(parts)}),
+placed AS (
+  SELECT *, coalesce(sum(CASE WHEN i = 0 THEN length(p) ELSE length(p) - 1 END)
+    OVER (PARTITION BY doc_id, o ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
+  FROM pieces),
+spans AS (SELECT doc_id, o, kind, a, kind || ':' || a || ':' || (a + length(m)) AS s FROM placed WHERE i > 0 AND length(g) >= least),
+told AS (
+  SELECT doc_id, {counts}, string_agg(s, ',' ORDER BY a, o) FILTER (WHERE o < {n_base}) AS base, string_agg(s, ',' ORDER BY a, o) AS spans
+  FROM spans GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{rules[k][0]}, 0) AS n_{rules[k][0]}" for k in range(n_base))},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN told USING (doc_id)
+"""
