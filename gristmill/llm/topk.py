@@ -17,7 +17,7 @@ or have another number of components than the query, take no part; a query
 with fewer than k candidates has all of them; rows that share a ``vec_id`` are
 candidates of their own, none of them for a query of that id, and a query id
 that repeats is asked once, with its least vector; null ids take no part; a
-score beyond 2 ** 62 on either side is held there; an empty table gives an empty
+score beyond 2 ** 61 on either side is held there; an empty table gives an empty
 result.  Other columns are ignored.
 """
 
@@ -36,7 +36,7 @@ BINS = 256
 #: Scores that a task holds at once.
 _CELLS = 1 << 21
 #: Scores are held within these bounds, so that their differences fit a long.
-_LEAST, _MOST = -(2**62), 2**62
+_LEAST, _MOST = -(2**61), 2**61
 HITS = "query_id long, vec_id long, score long"
 
 
