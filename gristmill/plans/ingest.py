@@ -10,11 +10,12 @@ from pyspark.sql import types as T
 
 from ..config import ConvertOptions, FieldConfig, IngestOptions
 from ..functions import matching, naming
+from ..logs import log
 from ..operators import codecs as images
 from ..operators import limits, outcomes
 from ..schema import CLOUD
 from ..shipping import ship
-from ..sinks.adapters import Adapter
+from ..sinks.adapters import Adapter, preflight
 from ..sinks.store import STORED, store
 
 
@@ -79,14 +80,20 @@ def _result(files: DataFrame, with_cloud: bool) -> DataFrame:
     return files.select(*RESULT, *renamed, *cloud, "_metadata")
 
 
-def ingest(files: DataFrame, options: IngestOptions, codecs: Mapping[str, images.Codec] | None = None, adapters: Mapping[str, Callable[..., Adapter]] | None = None, root: str | None = None) -> DataFrame:
+def ingest(files: DataFrame, options: IngestOptions, codecs: Mapping[str, images.Codec] | None = None, adapters: Mapping[str, Callable[..., Adapter]] | None = None, root: str | None = None, probe: bool = False) -> DataFrame:
     """Ingest file records (see ``schema.FILE``); one result row for each file.
 
     A request with a file above the limit is rejected whole: see
     :func:`gristmill.operators.limits.rejected_requests`.  Writing happens when
     the result is computed, so write the result once and read it from there.
+    With ``probe`` the places of cloud fields are asked first, and those that
+    do not answer are logged.
     """
     ship(files.sparkSession)
+    if probe:
+        for field, wrong in preflight(options.cloud_fields(), adapters).items():
+            if wrong:
+                log.warning("field %s: %s", field, wrong)
     images.check_formats([v.filled().format for v in options.fields.values()], images.BUILT_IN if codecs is None else dict(codecs))
     allowed = files.filter(matching.allowed(F.col("fieldname"), list(options.fields)))
     planned = _targets(plan_ingest(limits.within_limit(allowed, options.limit), options), options, root)
