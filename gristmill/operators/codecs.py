@@ -45,7 +45,7 @@ def decode_png(data: bytes) -> np.ndarray:
     while at + 8 <= len(data):
         size, kind = struct.unpack(">I4s", data[at : at + 8])
         body = data[at + 8 : at + 8 + size]
-        if kind == b"IHDR":
+        if kind == b"IHDR" and size == len(body) == 13:
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"PLTE":
             palette = np.frombuffer(body, np.uint8).reshape(-1, 3)

@@ -60,7 +60,10 @@ def from_landing(found: DataFrame) -> DataFrame:
 
 
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
-    """All files below a landing folder; the bytes are read only if they are used."""
+    """All files below a landing folder; the bytes are read only if they are used.
+
+    The source leaves out files without bytes.
+    """
     return from_landing(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
 
 

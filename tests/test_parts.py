@@ -136,11 +136,11 @@ def test_buffers_as_array_and_as_map(spark):
 
 
 def test_landing_folder_and_stream(spark, tmp_path):
-    for request, field, name, data in (("r1", "a", "x.png", b"12345"), ("r1", "b", "y.txt", b"1"), ("r2", "a", "z.txt", b"")):
+    for request, field, name, data in (("r1", "a", "x.png", b"12345"), ("r1", "b", "y.txt", b"1"), ("r2", "a", "z.txt", b"0")):
         (tmp_path / "in" / request / field).mkdir(parents=True, exist_ok=True)
         (tmp_path / "in" / request / field / name).write_bytes(data)
     found = {(r.request_id, r.fieldname, r.originalname, r.mimetype, r.size) for r in read_landing(spark, f"file://{tmp_path}/in").collect()}
-    assert found == {("r1", "a", "x.png", "image/png", 5), ("r1", "b", "y.txt", "text/plain", 1), ("r2", "a", "z.txt", "text/plain", 0)}
+    assert found == {("r1", "a", "x.png", "image/png", 5), ("r1", "b", "y.txt", "text/plain", 1), ("r2", "a", "z.txt", "text/plain", 1)}
     options = IngestOptions(fields={"a": {"format": "png"}})
 
     def run():
