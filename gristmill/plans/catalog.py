@@ -214,7 +214,7 @@ def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     _run_once(ingest(items, IngestOptions(fields=fields), root=root), spark, "landed")
     out, checkpoint = scratch(spark, "ingested"), scratch(spark, "progress")
     options = IngestOptions(fields={"field0": {}, "field1*": {}})
-    query = ingest_stream(stream_landing(spark, f"file://{root}/in", max_files=16), options, out, checkpoint)
+    query = ingest_stream(stream_landing(spark, f"file://{root}/in", max_files=100), options, out, checkpoint)
     query.awaitTermination()
     done = spark.read.option("recursiveFileLookup", "true").parquet(out)
     return done.groupBy("request_id", "fieldname", "outcome", "mimetype").agg(F.count("*").alias("n_files"), F.sum("size").alias("n_bytes"))
