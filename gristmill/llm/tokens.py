@@ -99,14 +99,18 @@ class Encoder:
         """Ids of many words, encoded as a few long texts."""
         if not words:
             return np.zeros(0, np.int64), np.zeros(0, np.uint16)
-        groups = [words[i : i + _JOINED] for i in range(0, len(words), _JOINED)]
+        between = " " if self.kind == "lead" else f" {_MARK} "
+        parts = []
+        for i in range(0, len(words), 32 * _JOINED):  # an encoding holds far more than its ids
+            some = [between.join(words[j : j + _JOINED]) for j in range(i, min(len(words), i + 32 * _JOINED), _JOINED)]
+            some = [between + x if self.kind == "lead" else x + between for x in some]
+            parts += [np.array(x.ids, np.uint16) for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        ids = np.concatenate(parts)
+        del parts
         if self.kind == "lead":
-            ids = np.concatenate([np.array(x.ids, np.uint16) for x in self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)])
             first = np.flatnonzero(self.leads[ids])
             size = np.diff(np.r_[first, len(ids)])
         else:
-            between = f" {_MARK} "
-            ids = np.concatenate([np.array(x.ids, np.uint16) for x in self.tokenizer.encode_batch_fast([between.join(g) + between for g in groups], add_special_tokens=False)])
             end = np.flatnonzero(ids == self.mark[0])
             size = np.diff(np.r_[-1, end]) - 1
             ids = ids[ids != self.mark[0]]
@@ -191,6 +195,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.Reco
     size = 0
 
     def put_out() -> pa.RecordBatch:
+        pa.default_memory_pool().release_unused()
         table = pa.Table.from_batches(held).combine_chunks()
         return table.to_batches()[0]
 
