@@ -2,42 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Tables that an operator broadcasts hold at most this many rows.
-BROADCAST_ROWS = 20_000
+from ..storage import scratch as scratch_path
+
 #: A key is hot when it holds at least one row in this many.
 HOT_SHARE = 2_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    ``spark.checkpoint.dir`` names it.  Where that is unset (tests in local
-    mode) a temporary folder of this machine takes its place.
-    """
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        there = "file://" + tempfile.mkdtemp(prefix="gristmill-")
-        spark.conf.set("spark.checkpoint.dir", there)
-    return there.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it goes when the driver ends."""
-    path = f"{shared_dir(spark)}/gristmill/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
 def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder made by :func:`scratch_path`."""
+    """Delete a folder made by :func:`gristmill.storage.scratch`."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
