@@ -48,7 +48,7 @@ UNKNOWN = "und"
 BUCKETS = 1 << 13
 ORDERS = 3
 MOST_LANGUAGES = 64
-PER_LANGUAGE = 300
+PER_LANGUAGE = 200
 LONGEST = 20_000
 #: Each sampled text is learned whole and by a part of so many characters.
 PART = 120
@@ -172,7 +172,7 @@ def fit(texts: list[str], langs: list[str], families: dict[str, tuple[str, ...]]
     # Machines of families are (-1, f, f); those of two languages (family, a, b).
     jobs = [((-1, f, f), np.ones(len(labels), bool), np.isin(labels, g)) for f, g in enumerate(groups)] if len(groups) > 1 else []
     jobs += [((f, a, b), np.isin(labels, (g[a], g[b])), labels == g[a]) for f, g in enumerate(groups) for a, b in combinations(range(len(g)), 2)]
-    fitted = [svm(x[rows], np.where(yes[rows], 1.0, -1.0), cost=10.0) for _, rows, yes in jobs]
+    fitted = [svm(x if rows.all() else x[rows], np.where(yes[rows], 1.0, -1.0), cost=10.0) for _, rows, yes in jobs]
     weights = np.stack([w * scale / size for w, _ in fitted], 1) if fitted else np.zeros((BUCKETS, 0))
     return Model(groups, tuple(m for m, *_ in jobs), np.ascontiguousarray(weights, np.float32), np.array([b for _, b in fitted]))
 

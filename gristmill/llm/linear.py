@@ -11,11 +11,11 @@ def svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 60) -> tu
     Dual coordinate descent over the Gram matrix, in a fixed order, with the
     costs weighed so that both classes count alike.
     """
-    z = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float32)
-    gram = (z @ z.T).astype(np.float64)
+    x = x.astype(np.float32, copy=False)
+    gram = x @ x.T + np.float32(1)  # the one is the bias
     share = np.where(y > 0, (y > 0).sum(), (y < 0).sum())
     upper = cost * len(y) / (2.0 * np.maximum(share, 1))
-    alpha, margin, diagonal = np.zeros(len(y)), np.zeros(len(y)), np.maximum(gram.diagonal(), 1e-12)
+    alpha, margin, diagonal = np.zeros(len(y)), np.zeros(len(y)), np.maximum(gram.diagonal(), 1e-12).astype(np.float64)
     order = np.random.default_rng(7)
     for _ in range(rounds):
         most = 0.0
@@ -28,8 +28,7 @@ def svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 60) -> tu
                 most = max(most, abs(step))
         if most < 1e-4:
             break
-    w = (alpha * y) @ z
-    return w[:-1].astype(np.float32), float(w[-1])
+    return (alpha * y).astype(np.float32) @ x, float((alpha * y).sum())
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds: int = 400, rate: float = 0.5) -> tuple[np.ndarray, float]:
