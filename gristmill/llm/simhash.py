@@ -134,9 +134,8 @@ def _settle(max_bits: int, group: int):
         rest_key, rest = np.empty(0, np.int64), np.empty(0, np.uint64)
         over = None  # the key of a group that has already passed the bound
 
-        def groups(key, fp):
-            """Rows of whole groups."""
-            nonlocal over
+        def groups(key, fp, over):
+            """Rows of whole groups; rows of the key ``over`` are the rest of a large one."""
             edge = np.flatnonzero(np.diff(key)) + 1
             start, end = np.r_[0, edge], np.r_[edge, len(key)]
             size = end - start
@@ -164,15 +163,16 @@ def _settle(max_bits: int, group: int):
             if not len(key):
                 continue
             last = int(np.searchsorted(key, key[-1]))  # the last group may go on in the next batch
+            before = over  # its last rows may start this batch
             if len(key) - last > group:
                 over, last = key[-1], len(key)
             elif over is not None and key[-1] == over:
                 last = len(key)
             if last:
-                yield from groups(key[:last], fp[:last])
+                yield from groups(key[:last], fp[:last], before)
             rest_key, rest = key[last:], fp[last:]
         if len(rest_key):
-            yield from groups(rest_key, rest)
+            yield from groups(rest_key, rest, over)
 
     return of_batches
 

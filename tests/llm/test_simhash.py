@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -68,6 +69,17 @@ def test_dense_group_makes_few_links(spark):
         assert edges.count() < 40 * len(prints)
 
 
+def test_crowded_variants_across_batches():
+    """The last rows of one crowded key come in the batch that the next one fills."""
+    keys = [[1] * 6, [1] * 2 + [2] * 6, [2] * 3 + [3] * 2, [3] * 1]
+    prints = iter(range(0, 10_000, 7))
+    batches = [pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array([next(prints) for _ in k], pa.int64())], ["key", "fp"]) for k in keys]
+    out = pa.Table.from_batches(simhash._settle(2, 4)(iter(batches))).to_pylist()
+    again = [(r["key"], r["a"]) for r in out if r["a"] == r["b"]]
+    rows = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+    assert sorted(again) == [(k, fp) for k, fp in rows if k < 3]
+
+
 def test_long_chain(spark):
     """A path of 200 nodes, joined in a scrambled order."""
     nodes = list(range(0, 2000, 10))
