@@ -156,6 +156,10 @@ class Model:
         return names.tolist(), np.where(letters, np.clip(score, 0.0, 1.0), 0.0)
 
 
+#: For use where nothing could be learned: a text with a letter is in some language.
+LETTERS = Model((("any",),), (), np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
+
+
 def fit(texts: list[str], langs: list[str], families: dict[str, tuple[str, ...]] = FAMILIES) -> Model:
     """Fit all machines on labelled texts."""
     known = sorted(set(langs))
