@@ -63,3 +63,30 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, weight: str, total: in
     cold = table.filter(F.col(weight) < at_least)
     light = rows.join(hot.select(key), key, "left_anti").join(cold, key, how)
     return rows.join(hot, key, "inner").unionByName(light)
+
+
+def join_salted(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int, salts: int = 32) -> DataFrame:
+    """Inner join as :func:`join_hot`, for tables whose rows are too large to broadcast.
+
+    Rows of a hot key (a long) go to one of ``salts`` partitions by a hash of the
+    whole row, and that key's row of ``table`` is there once for each salt.
+    Broadcast are the hot keys alone, at most ``HOT_SHARE`` longs.
+    """
+    at_least = max(1_000, -(-total // HOT_SHARE))
+    hot = F.broadcast(table.filter(F.col(weight) >= at_least).select(F.col(key).alias("_hot")))
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")
+    spread = rows.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(salt)).drop("_hot")
+    copies = F.when(F.col(weight) >= at_least, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return spread.join(table.withColumn("_salt", F.explode(copies)), [key, "_salt"]).drop("_salt")
+
+
+def keep_rows(docs: DataFrame, first: DataFrame, key: Column) -> DataFrame:
+    """The rows of ``docs`` whose key is in ``first`` (``key``, ``n`` rows that have it), one for each key.
+
+    Texts are shuffled once; only rows whose key repeats are grouped, and of
+    these the first by all columns stays.
+    """
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key")).join(first, "key")
+    one = rows.filter("n = 1").select("row.*")
+    many = rows.filter("n > 1").groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return one.unionByName(many.select("row.*"))

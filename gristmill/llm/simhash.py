@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import drop_path, join_hot, row_key, written, written_at
+from ._shared import drop_path, join_hot, keep_rows, row_key, written, written_at
 
 #: Up to this many fingerprints under one variant are compared directly.
 GROUP = 2_048
@@ -231,15 +231,16 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     edges, path = written_at(edges.select("a", "b"), "edges")
-    state = None
+    state, n_edges = None, edges.count()
     while True:
+        # A hub's edges are spread (join_hot): its least neighbour goes to them.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = join_hot(both, least, "a", "n", 2 * n_edges, "inner").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large, large_path = written_at(large.filter("a <> b"), "edges")
         # Each edge of large leads down from a to b.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = join_hot(large, least, "a", "n", n_edges, "inner").select(
             F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
         )
         small, small_path = written_at(small.select("e.a", "e.b").filter("a <> b").distinct(), "edges")
@@ -249,7 +250,7 @@ def components(edges: DataFrame) -> DataFrame:
         edges, path = small, small_path
         if now == state:
             break
-        state = now
+        state, n_edges = now, now[0]
     roots = edges.select("b").distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("root")))
 
@@ -273,15 +274,13 @@ def near_duplicates(docs: DataFrame, id_: Column | str = "doc_id", text_col: str
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2) -> DataFrame:
     """The columns and rows of ``docs``, of each group the first row only.
 
-    First is by id, null ids last, then by the text's hash; of equal rows one
-    stays.
+    First is by id, null ids last, then by the text's hash, then by all columns.
     """
     key = row_key(id_col, text_col)
     order = F.struct(F.col(id_col).isNull().alias("none"), key.alias("key"))
     groups = near_duplicates(docs, order, text_col, words, max_bits)
-    first = written(groups.select(F.col("component_id.key").alias("key")).distinct(), "first")
-    rows = docs.select(F.struct("*").alias("row"), key.alias("key")).join(first, "key", "left_semi")
-    return rows.groupBy("key").agg(F.first("row").alias("row")).select("row.*")
+    first = groups.filter(F.col("id") == F.col("component_id")).groupBy(F.col("id.key").alias("key")).agg(F.count("*").alias("n"))
+    return keep_rows(docs, written(first, "first"), key)
 
 
 def hex_print(col: str = "fp"):
