@@ -7,9 +7,12 @@ driver from a table of length -> number of pieces: a bounded input, whatever
 the size of the corpus.
 
 The plan takes the longest piece left and looks for a single length, a pair or
-a triple that fills its gap exactly, in an index of the lengths still
-available.  If none does, the longest piece that fits goes in (best fit), and
-the search goes on for the smaller gap.  A combination found is used as often
+a triple that fills its gap exactly, in an index of the sums of the lengths
+still available: of singles their counts, of pairs a hash from each sum to the
+longer lengths of its pairs, and of triples each sum as a length and a pair's
+sum.  A combination is taken only if there are enough pieces of its lengths,
+and one that exists is always found.  If none does, the longest piece that fits
+goes in (best fit), and the search goes on for the smaller gap.  A combination found is used as often
 as its lengths are available, so the plan has few combinations, each with a
 number of sequences.
 
@@ -73,77 +76,99 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAP
     return rows.mapInArrow(_pieces(tokenizer, end_id, capacity), PIECES)
 
 
-class _Lengths:
-    """Available lengths as bits, upwards and downwards, for sums of up to three."""
-
-    def __init__(self, capacity: int) -> None:
-        self.capacity, self.up, self.down = capacity, 0, 0
-
-    def flip(self, length: int) -> None:
-        self.up ^= 1 << length
-        self.down ^= 1 << (self.capacity - length)
-
-    def longest(self, most: int) -> int:
-        """The longest available length up to ``most``, or 0."""
-        return (self.up & ((2 << most) - 1)).bit_length() - 1 if most > 0 and self.up & ((2 << most) - 1) else 0
-
-    def pair(self, total: int) -> tuple[int, int] | None:
-        """Available a >= b with a + b == total, a as long as possible."""
-        both = self.up & (self.down >> (self.capacity - total)) if total > 1 else 0
-        both &= (1 << total) - 1
-        if both <= 1:
-            return None
-        a = both.bit_length() - 1
-        return a, total - a
-
-
-def _complement(free: _Lengths, counts: Counter, used: list[int], gap: int) -> list[int] | None:
-    """One, two or three available lengths that sum to ``gap``."""
-
-    def there(more: list[int]) -> bool:
-        need = Counter(used + more)
-        return all(counts[x] >= need[x] for x in more)
-
-    if counts[gap] and there([gap]):
-        return [gap]
-    if (two := free.pair(gap)) and there(list(two)):
-        return list(two)
-    a = free.longest(gap - 2)
-    while a >= -(-gap // 3):
-        if (two := free.pair(gap - a)) and there([a, *two]):
-            return [a, *two]
-        a = free.longest(a - 1)
-    return None
+def _bits(bits: int) -> Iterator[int]:
+    """Places of the bits that are set, from the highest."""
+    while bits:
+        at = bits.bit_length() - 1
+        yield at
+        bits ^= 1 << at
+
+
+class _Sums:
+    """Available lengths, and their pairs and triples by sum up to ``capacity``."""
+
+    def __init__(self, histogram: dict[int, int], capacity: int) -> None:
+        self.counts, self.capacity = Counter({k: v for k, v in histogram.items() if v}), capacity
+        self.single = sum(1 << x for x in self.counts)
+        down = sum(1 << (capacity - x) for x in self.counts)
+        #: Of each sum, a bit for the longer length of each pair.
+        self.pairs: dict[int, int] = {}
+        for total in range(2, capacity + 1):
+            half = (total + 1) // 2
+            longer = self.single & (down >> (capacity - total)) >> half << half
+            if total % 2 == 0 and self.counts[half] < 2:
+                longer &= ~(1 << half)
+            if longer:
+                self.pairs[total] = longer
+        #: The sums of pairs, from the greatest.
+        self.pair_sums = sum(1 << (capacity - x) for x in self.pairs)
+
+    def _cut(self, total: int, longer: int) -> None:
+        if total in self.pairs:
+            self.pairs[total] &= ~(1 << longer)
+            if not self.pairs[total]:
+                del self.pairs[total]
+                self.pair_sums &= ~(1 << (self.capacity - total))
+
+    def use(self, combo: list[int], times: int) -> None:
+        """Take pieces away, and what they leave without pieces out of the index."""
+        for x, n in Counter(combo).items():
+            self.counts[x] -= n * times
+            if self.counts[x] < 2:
+                self._cut(2 * x, x)
+            if not self.counts[x]:
+                del self.counts[x]
+                self.single &= ~(1 << x)
+                for y in self.counts:
+                    self._cut(x + y, max(x, y))
+
+    def longest(self, most: int, used: Counter) -> int:
+        """The longest length up to ``most`` with a piece that is not ``used``, or 0."""
+        fits = self.single & ((2 << most) - 1)
+        return next((x for x in _bits(fits) if self.counts[x] > used[x]), 0)
+
+    def pair(self, total: int, used: Counter) -> list[int] | None:
+        """Two lengths of this sum, the longer as long as possible."""
+        for a in _bits(self.pairs.get(total, 0)):
+            b = total - a
+            if self.counts[a] > used[a] and self.counts[b] > used[b] + (a == b):
+                return [a, b]
+        return None
+
+    def complement(self, gap: int, used: Counter) -> list[int] | None:
+        """One, two or three lengths that sum to ``gap``, beside the pieces ``used``."""
+        if self.counts.get(gap, 0) > used[gap]:
+            return [gap]
+        if two := self.pair(gap, used):
+            return two
+        for a in _bits(self.single & (self.pair_sums >> (self.capacity - gap))):
+            if self.counts[a] > used[a]:
+                used[a] += 1
+                two = self.pair(gap - a, used)
+                used[a] -= 1
+                if two:
+                    return [a, *two]
+        return None
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
     """Combinations of lengths, each with its number of sequences."""
-    counts, free = Counter({k: v for k, v in histogram.items() if v}), _Lengths(capacity)
-    for length in counts:
-        free.flip(length)
+    free = _Sums(histogram, capacity)
     out: list[tuple[list[int], int]] = []
-    while counts:
-        combo = [free.longest(capacity)]
-        gap = capacity - combo[0]
+    while free.counts:
+        used: Counter = Counter()
+        combo, gap = [], capacity
         while gap > 0:
-            if more := _complement(free, counts, combo, gap):
-                combo += more
-                break
-            fit, need = free.longest(gap), Counter(combo)
-            while fit and counts[fit] <= need[fit]:
-                fit = free.longest(fit - 1)
-            if not fit:
+            more = free.complement(gap, used) if combo else None
+            more = more or [x for x in [free.longest(gap, used)] if x]
+            if not more:
                 break
-            combo.append(fit)
-            gap -= fit
-        need = Counter(combo)
-        times = min(counts[x] // k for x, k in need.items())
+            combo += more
+            used.update(more)
+            gap -= sum(more)
+        times = min(free.counts[x] // n for x, n in used.items() if n)
         out.append((combo, times))
-        for x, k in need.items():
-            counts[x] -= k * times
-            if not counts[x]:
-                del counts[x]
-                free.flip(x)
+        free.use(combo, times)
     return out
 
 

@@ -13,12 +13,16 @@ can be cut without changing them, which depends on the tokenizer:
     any space or line break.
 
 Texts for which the rule does not hold, and all texts of other tokenizers, are
-encoded whole.
+encoded whole.  So are texts that hold one of the tokenizer's added tokens,
+such as an end-of-text mark, which the library looks for in texts by default,
+and texts in which a combining mark follows a capital, as the library composes
+letters before it makes them small.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +42,10 @@ _MARK = "\x01"
 #: White space, as the widest of the patterns has it, before a space.
 _WIDE = r"[\x01\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] |\x01"
 
+#: What a "drop" tokenizer does to a text before it looks words up.
+_DROP_STEPS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_DROP_WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
 
 class _Words:
     """Words and their ids, in three flat arrays."""
@@ -63,7 +71,6 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.small = self.tokenizer.get_vocab_size() <= 1 << 16
@@ -79,16 +86,24 @@ class Encoder:
 
     def _rule(self, spec: dict) -> str:
         before, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
-        if not self.small or spec.get("post_processor", {}) and spec["post_processor"].get("type") not in (None, "ByteLevel"):
+        self.added = [x["content"] for x in spec.get("added_tokens", [])]
+        plain = all(x.isascii() and x.split() == [x] for x in self.added)
+        if not self.small or not plain or (spec.get("post_processor") or {}).get("type", "ByteLevel") != "ByteLevel":
             return "whole"
         if norm is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space"):
             return "lead"
-        steps = [x.get("type") for x in (norm or {}).get("normalizers", [])]
-        parts = [x.get("type") for x in before.get("pretokenizers", [])]
-        if steps == ["NFC", "Replace", "Lowercase"] and parts == ["Split", "ByteLevel"] and before["pretokenizers"][0].get("behavior") == "Removed":
+        split, *rest = before.get("pretokenizers") or [{}]
+        words = split.get("type") == "Split" and split.get("pattern") == {"Regex": _DROP_WORDS} and split.get("behavior") == "Removed" and split.get("invert")
+        bytes_ = len(rest) == 1 and rest[0].get("type") == "ByteLevel" and not rest[0].get("use_regex") and not rest[0].get("add_prefix_space")
+        if words and bytes_ and (norm or {}).get("normalizers") == _DROP_STEPS:
             return "drop"
         return "whole"
 
+    def _odd(self) -> str:
+        """An expression for the texts that are encoded whole."""
+        added = "".join(f"|(?i:{re.escape(x)})" for x in self.added)
+        return (_WIDE if self.kind == "lead" else r"\x01|[A-Z]\p{M}") + added
+
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -169,7 +184,7 @@ class Encoder:
         if self.kind == "whole":
             yield self._whole(texts.to_pylist())
             return
-        odd = pc.match_substring_regex(texts, _WIDE if self.kind == "lead" else r"\x01").to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, self._odd()).to_numpy(zero_copy_only=False)
         cuts = np.r_[0, np.flatnonzero(np.diff(odd)) + 1, len(odd)] if len(odd) else [0]
         for a, b in zip(cuts, cuts[1:]):
             part = texts.slice(a, b - a)

@@ -1,7 +1,10 @@
 """Encoding, token files and packing."""
 
 import random
+import time
 import zlib
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -18,12 +21,11 @@ from ..conftest import SMALL
 from .helpers import EDGES, documents
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
-NASTY = ["  ", "a  b", "a \n b", " x", "x ", "\n", "a\n b", "\t\ta", "don't 'll we'll", "ſK ΣΑΣ İ", "\x01abc", "a\x01 b", "a.b, c. d... e.", "<|endoftext|> hi", "日本語 テスト 。", "a b  c", "x\x1c y", "é ́x", "a\r\n b", "'s 'S", "A.", "a, b,"]
+NASTY = ["  ", "a  b", "a \n b", " x", "x ", "\n", "a\n b", "\t\ta", "don't 'll we'll", "ſK ΣΑΣ İ", "\x01abc", "a\x01 b", "a.b, c. d... e.", "<|endoftext|> hi", "hello <|endoftext|> world", "a<|startoftext|>b", "<|ENDOFTEXT|> <|endof text|>", "J\u030c H\u0331 T\u0308a", "é<|endoftext|>\u0301", "日本語 テスト 。", "a b  c", "x\x1c y", "é ́x", "a\r\n b", "'s 'S", "A.", "a, b,"]
 
 
 def reference(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -94,6 +96,29 @@ def test_lookup_is_pushed_to_the_files(spark):
     assert "local_start" not in plan
 
 
+def test_files_hold_what_readers_skip_by(spark):
+    """Run-length encoded ids, row groups and Bloom filters, as the file's own footer tells."""
+    path = scratch_path(spark, "test")
+    rows = spark.range(5_000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"))
+    token_files.write(rows.coalesce(1), path, BYTE)
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = [f.getPath() for f in folder.getFileSystem(hadoop).listStatus(folder) if f.getPath().getName().endswith(".orc")]
+    groups = 0
+    for file in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(file, jvm.org.apache.orc.OrcFile.readerOptions(hadoop))
+        assert reader.getRowIndexStride() == token_files.ROW_GROUP
+        batches = reader.rows()
+        for stripe in reader.getStripes():
+            footer = batches.readStripeFooter(stripe)
+            kinds = {(x.getColumn(), str(x.getKind())) for x in footer.getStreamsList()}
+            assert {(1, "BLOOM_FILTER_UTF8"), (1, "ROW_INDEX")} <= kinds
+            assert str(footer.getColumnsList()[6].getKind()) == "DIRECT_V2"  # the ids, run-length encoded
+            groups += -(-stripe.getNumberOfRows() // token_files.ROW_GROUP)
+        batches.close()
+    assert groups >= 5
+
+
 def valid(rows, capacity):
     """Sequences without gaps or overlaps, none too long; their number."""
     by = {}
@@ -163,6 +188,37 @@ def test_complements_are_used():
     assert packing.plan({}, 10) == []
 
 
+def test_no_exact_complement_is_missed():
+    """Of random pieces, beside those used, a single, a pair or a triple fills a gap whenever one exists."""
+    rng, there = random.Random(6), 0
+    for _ in range(3_000):
+        pieces = [rng.randint(1, 30) for _ in range(rng.randint(1, 9))]
+        sums = packing._Sums(Counter(pieces), 60)
+        if rng.random() < 0.5:
+            gone = rng.sample(pieces, rng.randint(0, len(pieces) // 2))
+            sums.use(gone, 1)
+            for x in gone:
+                pieces.remove(x)
+        used = Counter(rng.sample(pieces, rng.randint(0, len(pieces) // 2)))
+        left, gap = list((Counter(pieces) - used).elements()), rng.randint(1, 60)
+        exists = any(sum(c) == gap for n in (1, 2, 3) for c in combinations(left, n))
+        found = sums.complement(gap, Counter(used))
+        assert (found is not None) == exists
+        if found:
+            there += 1
+            assert sum(found) == gap and not Counter(found) - Counter(left)
+    assert there > 500
+    assert packing.plan({29: 1, 4: 1, 27: 1, 26: 1, 2: 1, 7: 1}, 60)[0][0] == [29, 27, 4]
+
+
+def test_many_lengths_are_planned_quickly():
+    began = time.time()
+    plan = packing.plan({n: 1 + n % 7 for n in range(1, 4097)})
+    total = sum(n * (1 + n % 7) for n in range(1, 4097))
+    least = -(-total // 4096)  # a bound that need not be reached
+    assert least <= sum(t for _, t in plan) <= 1.001 * least and time.time() - began < 60
+
+
 def test_packing_of_odd_rows(spark):
     df = documents(spark, EDGES, [None, 5, 5, 3, 2, 1, 0, 9, 8, 8, 4, 6])
     rows = packing.pack_documents(df.unionByName(df), WORD, capacity=64)
