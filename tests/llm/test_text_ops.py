@@ -115,16 +115,17 @@ def slow_report(docs, items, size):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("limit", [0, 100_000])
-def test_windows_by_brute_force(spark, limit):
+@pytest.mark.parametrize("limit", [-1, decontaminate.BROADCAST_BYTES])
+@pytest.mark.parametrize("size", [3, 5])
+def test_windows_by_brute_force(spark, limit, size):
     rng = random.Random(11)
     vocabulary = ["the", "The", "of", "é", "É", "x1", "rare", "42", "ünï"]
-    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 30))) for _ in range(120)] + EDGES
-    items = [(i, " ".join(rng.choices(vocabulary, k=k))) for i, k in enumerate([1, 2, 3, 3, 4, 5, 6, 9])] + [(3, "of the of the"), (None, "rare rare"), (20, None), (21, "!!"), (100, "the")]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 30))) for _ in range(120)] + ["of the of the x1 rare the of the of the"] * 9 + EDGES
+    items = [(i, " ".join(rng.choices(vocabulary, k=k))) for i, k in enumerate([1, 2, 3, 3, 4, 5, 6, 9])] + [(3, "of the of the"), (None, "rare rare"), (20, None), (21, "!!"), (100, "the"), (101, "the of the of the x1 rare")]
     table = spark.createDataFrame(items, "item_id long, text string").withColumn("key", F.lit(1)).withColumn("win", F.lit(2))
     df = documents(spark, texts)
-    got = decontaminate.report(df.unionByName(df), table, window=3, broadcast_windows=limit)
-    assert sorted(map(tuple, got.collect()), key=repr) == sorted(2 * slow_report(list(enumerate(texts)), items, 3), key=repr)
+    got = decontaminate.report(df.unionByName(df), table, window=size, broadcast_bytes=limit)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(2 * slow_report(list(enumerate(texts)), items, size), key=repr)
 
 
 def test_decontamination_of_empty_tables(spark):
