@@ -1,24 +1,27 @@
 """Exact top-k search by global score histograms.
 
 Vectors are quantized to integers, and a score is an integer inner product.
-Queries are taken in blocks of a fixed number; for each block, passes over all
-candidates score everything.  Each pass counts, for every query, the scores in
-equal bins of the range in which its kth score is known to be; the counts are
-summed over the cluster, the bin of the kth score becomes the next range, and
-when a bin is one score wide that score is the kth.  A last pass keeps what is
-above it and, of the ties, the smallest ids.
-
-A task reports only the bins that can matter: those from its own kth score up,
-at most k for each query.  Of ties it passes on at most as many as are needed,
-so one vector that makes up a third of all rows costs no more than others.
+Queries and candidates are cut into blocks of bounded size, and every pass
+scores each block of queries against each block of candidates, in one job.
+The first pass finds the range of each query's scores; further passes count the
+scores in equal bins of the range in which the query's kth score is known to
+be, the counts are summed over the cluster, and the bin of the kth score
+becomes the next range; when a range is one score wide, that is the kth.  A
+last pass keeps what is above it and, of the ties, the smallest ids.  What is
+known of each query is a row of a table in the shared folder, so the driver
+holds no query, and the number of passes depends on the width of scores alone.
+
+Of a pair of blocks only the bins are reported that can matter, those from the
+kth score of the pair up, and of ties as many as can be needed, so one vector
+that makes up a third of all rows costs no more than others.
 
 Defined results: vectors that are null, hold a null or a non-finite component,
 or have another number of components than the query, take no part; a query
-with fewer than k candidates has all of them; rows that share a ``vec_id`` are
-candidates of their own, none of them for a query of that id, and a query id
-that repeats is asked once, with its least vector; null ids take no part; a
-score beyond 2 ** 61 on either side is held there; an empty table gives an empty
-result.  Other columns are ignored.
+with fewer than k candidates has all of them; every row of ``queries`` is a
+query of its own, also where ids repeat, and meets every row but its own: one of
+the rows with its id that score it as high as it scores itself; null ids take
+no part; a score outside the range of longs is held at its ends; an empty table
+gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,17 +30,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries whose vectors and ranges the driver holds at once.
-QUERIES = 4_096
-BINS = 256
-#: Scores that a task holds at once.
-_CELLS = 1 << 21
-#: Scores are held within these bounds, so that their differences fit a long.
-_LEAST, _MOST = -(2**61), 2**61
-HITS = "query_id long, vec_id long, score long"
+from ._shared import written
+
+#: Queries and candidates of a block, and components that one may hold.
+QUERIES, ROWS, CELLS = 512, 2_048, 1 << 19
+BINS = 1_024
+#: Blocks of queries are broadcast up to so many bytes.
+BROADCAST_BYTES = 64 << 20
+_LEAST, _MOST = -(2**63), 2**63 - 1
+BLOCKS = "block long, dim int, ids array<long>, flat array<double>"
 
 
 def usable(col: str) -> Column:
@@ -46,146 +51,151 @@ def usable(col: str) -> Column:
     return F.col(col).isNotNull() & ~F.coalesce(bad, F.lit(False))
 
 
-def _quantize(vectors: np.ndarray) -> np.ndarray:
-    return np.floor(256.0 * vectors.astype(np.float64))
-
-
 def _scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Exact integer products; doubles hold them unless components are huge."""
+    """Exact integer products, by doubles or longs while these hold every sum."""
     bound = queries.shape[1] * float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0))
     if bound < 2**53:
         return (queries @ rows.T).astype(np.int64)
+    if bound < 2**62 and max(np.abs(queries).max(initial=0), np.abs(rows).max(initial=0)) < 2**62:
+        return queries.astype(np.int64) @ rows.astype(np.int64).T
     exact = np.array([[int(x) for x in q] for q in queries], object) @ np.array([[int(x) for x in r] for r in rows], object).T
     return np.clip(exact, _LEAST, _MOST).astype(np.int64)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], dim: int, n_queries: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and quantized vectors with ``dim`` components, some at a time."""
-    step = max(1, _CELLS // max(1, n_queries))
+def _blocks(rows: int):
+    """Quantized vectors of one number of components, some to a block."""
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            ids, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            at, flat = vectors.offsets.to_numpy(), vectors.values.to_numpy(zero_copy_only=False).astype(np.float64)
+            size = np.diff(at)
+            for dim in np.unique(size).tolist():
+                of = np.flatnonzero(size == dim)
+                step = max(1, min(rows, CELLS // max(1, dim)))
+                for lo in range(0, len(of), step):
+                    part = of[lo : lo + step]
+                    cells = np.floor(256.0 * flat[at[part][:, None] + np.arange(dim)]).ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([dim], pa.int32()), pa.array([ids[part]], pa.list_(pa.int64())), pa.array([cells], pa.list_(pa.float64()))], ["block", "dim", "ids", "flat"])
+                    number += 1
+
+    return of_batches
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], state: bool) -> Iterator[tuple]:
+    """(block, query ids, state of each query, candidate ids, scores) of every pair of blocks."""
     for batch in batches:
-        ids, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-        at, flat = vectors.offsets.to_numpy(), vectors.values.to_numpy(zero_copy_only=False)
-        fit = np.flatnonzero(np.diff(at) == dim)
-        for lo in range(0, len(fit), step):
-            part = fit[lo : lo + step]
-            yield ids[part], _quantize(flat[at[part][:, None] + np.arange(dim)])
-
-
-def _search(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame | None:
-    """Hits of one block of queries of one dimension."""
-    spark, n, dim = rows.sparkSession, len(ids), queries.shape[1]
-    context = spark.sparkContext
-
-    def ranges(batches):
-        """The least and greatest score of each query, and the number of its candidates."""
-        asked, vectors = held.value
-        low, high, count = np.full(n, _MOST), np.full(n, _LEAST), np.zeros(n, np.int64)
-        for own, part in _chunks(batches, dim, n):
-            score, other = _scores(vectors, part), asked[:, None] != own[None, :]
-            low = np.minimum(low, np.where(other, score, _MOST).min(1))
-            high = np.maximum(high, np.where(other, score, _LEAST).max(1))
-            count += other.sum(1)
-        at = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (np.arange(n), low, high, count)], ["q", "low", "high", "n"])
-
-    def histogram(batches):
-        """Scores in each bin of the query's range, from this task's own kth up."""
-        asked, vectors, low, shift = held_range.value
-        counts = np.zeros((n, BINS + 1), np.int64)  # the last is for all above the range
-        for own, part in _chunks(batches, dim, n):
-            score = _scores(vectors, part)
-            bins = np.clip((score - low[:, None]) >> shift[:, None], -1, BINS)
-            inside = (bins >= 0) & (asked[:, None] != own[None, :])
-            q, c = np.nonzero(inside)
-            counts += np.bincount(q * (BINS + 1) + bins[q, c], minlength=n * (BINS + 1)).reshape(n, BINS + 1)
-        above = counts[:, ::-1].cumsum(1)[:, ::-1] - counts
-        q, b = np.nonzero((counts > 0) & (above < k))
-        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(b), pa.array(counts[q, b])], ["q", "bin", "n"])
-
-    def hits(batches):
-        """All above the kth score, and of its ties those with the smallest ids."""
-        asked, vectors, kth, ties = held_kth.value
-        tied: list[tuple[np.ndarray, np.ndarray]] = []
-        for own, part in _chunks(batches, dim, n):
-            score, other = _scores(vectors, part), asked[:, None] != own[None, :]
-            q, c = np.nonzero(other & (score > kth[:, None]))
-            yield pa.RecordBatch.from_arrays([pa.array(asked[q]), pa.array(own[c]), pa.array(score[q, c])], ["query_id", "vec_id", "score"])
-            q, c = np.nonzero(other & (score == kth[:, None]))
-            tied.append((q, own[c]))
-            if sum(len(x) for x, _ in tied) > 4 * k * n + _CELLS:
-                tied = [_fewest(tied, ties)]
-        if tied:
-            q, own = _fewest(tied, ties)
-            yield pa.RecordBatch.from_arrays([pa.array(asked[q]), pa.array(own), pa.array(kth[q])], ["query_id", "vec_id", "score"])
-
-    held = context.broadcast((ids, queries))
-    found = rows.mapInArrow(ranges, "q long, low long, high long, n long").groupBy("q").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).collect()
-    if not found:
-        return None
-    low, high, wanted = np.zeros(n, np.int64), np.full(n, -1, np.int64), np.zeros(n, np.int64)
-    for q, lo, hi, count in found:
-        low[q], high[q], wanted[q] = lo, hi, min(k, count)
-    while True:
-        # A bin is 2 ** shift scores wide.
-        shift = np.array([max(0, (int(h) - int(lo)).bit_length() - BINS.bit_length() + 1) for lo, h in zip(low, high)], np.int64)
-        done = (high <= low) | (wanted == 0)
-        if done.all():
-            break
-        held_range = context.broadcast((ids, queries, low, shift))
-        counts = rows.mapInArrow(histogram, "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
-        # Of each query, the bins from the top until k scores are reached: at most k rows.
-        seen, settled = np.zeros(n, np.int64), done.copy()
-        for q, b, count in sorted(counts.collect(), key=lambda r: (r[0], -r[1])):
-            if settled[q]:
+        for i in range(batch.num_rows):
+            row = {n: batch.column(k)[i] for k, n in enumerate(batch.schema.names)}
+            dim = row["dim"].as_py()
+            if dim != row["v_dim"].as_py():
                 continue
-            seen[q] += count
-            if seen[q] >= wanted[q]:
-                settled[q] = True
-                low[q] += b << int(shift[q])
-                high[q] = min(int(high[q]), int(low[q]) + (1 << int(shift[q])) - 1)
-        held_range.unpersist()
-    ties = wanted.copy()
-    kth = np.where(wanted > 0, low, _MOST)
-    held_kth = context.broadcast((ids, queries, kth, ties))
-    return rows.mapInArrow(hits, HITS)
-
-
-def _fewest(tied: list[tuple[np.ndarray, np.ndarray]], ties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each query's tied ids the smallest, as many as can be wanted."""
-    q, own = np.concatenate([x for x, _ in tied]), np.concatenate([x for _, x in tied])
-    order = np.lexsort((own, q))
-    q, own = q[order], own[order]
-    rank = np.arange(len(q)) - np.searchsorted(q, q)
-    keep = rank < ties[q]
-    return q[keep], own[keep]
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block: int = QUERIES) -> DataFrame:
+            asked, own = (row[c].values.to_numpy(zero_copy_only=False) for c in ("ids", "v_ids"))
+            q, v = (row[c].values.to_numpy(zero_copy_only=False).reshape(n, dim) for c, n in (("flat", len(asked)), ("v_flat", len(own))))
+            known = None
+            if state:
+                known = np.array([[s["q"], s["low"], s["high"], s["shift"], s["wanted"]] for s in row["state"].as_py()], np.int64)
+                asked, q = asked[known[:, 0]], q[known[:, 0]]
+            yield row["block"].as_py(), asked, known, own, _scores(q, v)
+
+
+def _table(names: list[str], block: int, *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), block, np.int64)), *map(pa.array, columns)], names)
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least and greatest score of each query, and the number of its candidates."""
+    for block, asked, _, own, score in _pairs(batches, False):
+        n = len(asked)
+        yield _table(["block", "q", "low", "high", "n"], block, np.arange(n), score.min(1), score.max(1), np.full(n, len(own), np.int64))
+
+
+def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scores in each bin of the query's range; the last bin is for all above it."""
+    for block, asked, known, _, score in _pairs(batches, True):
+        q, low, high, shift, wanted = known.T
+        over, under = score > high[:, None], score < low[:, None]
+        # Differences of longs fit an unsigned long.
+        bins = ((score.view(np.uint64) - low.view(np.uint64)[:, None]) >> shift.astype(np.uint64)[:, None]).astype(np.int64, copy=False)
+        bins = np.where(over, BINS, np.where(under, BINS + 1, bins))
+        counts = np.bincount((np.arange(len(asked))[:, None] * (BINS + 2) + bins).ravel(), minlength=len(asked) * (BINS + 2)).reshape(-1, BINS + 2)[:, : BINS + 1]
+        above = counts[:, ::-1].cumsum(1)[:, ::-1] - counts
+        i, b = np.nonzero((counts > 0) & (above < wanted[:, None]))
+        yield _table(["block", "q", "bin", "n"], block, q[i], b, counts[i, b])
+
+
+def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All above the kth score, and of its ties those with the smallest ids."""
+    for block, asked, known, own, score in _pairs(batches, True):
+        q, kth, wanted = known[:, 0], known[:, 1], known[:, 4]
+        order = np.argsort(own, kind="stable")
+        own, score = own[order], score[:, order]
+        tied = score == kth[:, None]
+        tied &= tied.cumsum(1) <= wanted[:, None]
+        i, c = np.nonzero((score > kth[:, None]) | tied)
+        yield _table(["block", "q", "query_id", "vec_id", "score"], block, q[i], asked[i], own[c], score[i, c])
+
+
+def _met(asked: DataFrame, rows: DataFrame, state: DataFrame | None, broadcast: bool) -> DataFrame:
+    """Every block of queries (with its state) beside every block of candidates."""
+    if state is not None:
+        asked = asked.join(state.groupBy("block").agg(F.collect_list(F.struct("q", "low", "high", "shift", "wanted")).alias("state")), "block")
+    others = rows.select(F.col("dim").alias("v_dim"), F.col("ids").alias("v_ids"), F.col("flat").alias("v_flat"))
+    return others.crossJoin(F.broadcast(asked) if broadcast else asked)
+
+
+def _shift() -> Column:
+    """Bits to drop so that a range falls into ``BINS`` bins; a difference may not fit a long."""
+    width = F.try_subtract("high", "low")
+    bits = F.when(width.isNull(), 64).otherwise(F.length(F.bin(width)))
+    return F.greatest(F.lit(0), bits - (BINS.bit_length() - 1)).cast("long")
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block: int = QUERIES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``query_id, rank, vec_id, score`` of each query's k best candidates.
 
     ``queries`` has the same two columns; a query meets every row of
-    ``vectors`` but those of its own id.
+    ``vectors`` but its own.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector")).filter(F.col("vec_id").isNotNull() & usable("vector"))
-    asked = queries.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector")).filter(F.col("vec_id").isNotNull() & usable("vector"))
-    asked = asked.groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    out, after = None, None
-    while True:
-        part = asked if after is None else asked.filter(F.col("vec_id") > after)
-        taken = part.orderBy("vec_id").limit(block).collect()
-        if not taken:
-            break
-        after = taken[-1]["vec_id"]
-        by_dim: dict[int, list] = {}
-        for r in taken:
-            by_dim.setdefault(len(r["vector"]), []).append(r)
-        for group in by_dim.values():
-            found = _search(rows, np.array([r["vec_id"] for r in group], np.int64), _quantize(np.array([r["vector"] for r in group], np.float64).reshape(len(group), -1)), k)
-            if found is not None:
-                out = found if out is None else out.unionByName(found)
-        if len(taken) < block:
-            break
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
+        plain = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+        return written(plain.filter(F.col("vec_id").isNotNull() & usable("vector")).mapInArrow(_blocks(size), BLOCKS), name)
+
+    asked, rows = blocks(queries, block, "queries"), blocks(vectors, ROWS, "rows")
+    n_bytes = asked.agg(F.sum(F.lit(8) * (F.size("flat") + F.size("ids")).cast("long"))).first()[0] or 0
+    small = n_bytes <= broadcast_bytes
+    ranges = _met(asked, rows, None, small).mapInArrow(_ranges, "block long, q long, low long, high long, n long")
+    ranges = ranges.groupBy("block", "q").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
+    # One more than k, as a query also meets itself.
+    state = written(ranges.select("block", "q", "low", "high", F.least("n", F.lit(k + 1)).alias("wanted")).withColumn("shift", _shift()), "state")
+    while not (todo := state.filter("low < high")).isEmpty():
+        counts = _met(asked, rows, todo, small).mapInArrow(_histogram, "block long, q long, bin long, n long").groupBy("block", "q", "bin").agg(F.sum("n").alias("n"))
+        down = Window.partitionBy("block", "q").orderBy(F.desc("bin"))
+        at = counts.withColumn("seen", F.sum("n").over(down)).join(todo, ["block", "q"]).filter((F.col("seen") >= F.col("wanted")) & (F.col("seen") - F.col("n") < F.col("wanted")))
+        # Widths may not fit a long, their ends do.
+        width = F.pow(F.lit(2.0), F.col("shift")).cast("decimal(20,0)")
+        low = F.col("low").cast("decimal(20,0)") + F.col("bin").cast("decimal(18,0)") * width
+        high = F.least(F.col("high").cast("decimal(38,0)"), (low + width - 1).cast("decimal(38,0)"))
+        narrow = at.select("block", "q", low.cast("long").alias("low"), high.cast("long").alias("high"), "wanted").withColumn("shift", _shift())
+        state = written(state.filter("low >= high").unionByName(narrow), "state")
+    found = _met(asked, rows, state, small).mapInArrow(_hits, "block long, q long, query_id long, vec_id long, score long")
+    own = written(asked.mapInArrow(_own, "block long, q long, own long"), "own")
+    found = found.join(own, ["block", "q"])
+    # The query's own row is the one of its id and score, once.
+    same = (F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("own"))
+    nth = Window.partitionBy("block", "q", "vec_id", "score").orderBy(F.lit(1))
+    found = found.withColumn("nth", F.row_number().over(nth)).filter(~same | (F.col("nth") > 1))
+    best = Window.partitionBy("block", "q").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The score of each query with itself."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            n, dim = len(batch.column(2)[i]), batch.column(1)[i].as_py()
+            q = batch.column(3)[i].values.to_numpy(zero_copy_only=False).reshape(n, dim)
+            score = np.array([_scores(x[None, :], x[None, :])[0, 0] for x in q], np.int64)
+            yield _table(["block", "q", "own"], batch.column(0)[i].as_py(), np.arange(n), score)
