@@ -36,9 +36,9 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation with a reply, against the same with a stale last reply."""
+    """Every conversation with a reply, up to its last one, against the same with a stale last reply."""
     turns = _table(spark, sf_dir, "conversations")
-    pairs = preferences.format_pairs(turns, preferences.stale_replies(turns))
+    pairs = preferences.format_pairs(preferences.to_last_reply(turns), preferences.stale_replies(turns))
     spans = [preferences.spans_text(c).alias(c) for c in ("chosen_spans", "rejected_spans")]
     return pairs.select(F.col("pair_id").alias("conv_id"), "n_common", "prompt", "chosen", "rejected", *spans)
 
@@ -93,14 +93,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-def _spelled(rule: secrets.Rule) -> tuple[str, str, int, int]:
+def _spelled(rule: secrets.Rule) -> tuple[str, str, int, int, str]:
     """A rule for SQL, whose engine also folds letters beyond ASCII."""
     pattern = rule.pattern
     if rule.flags & re.IGNORECASE:
         words = "password passwd secret token api key".split()
         for word in words:
             pattern = re.sub(rf"(?<![A-Za-z]){word}(?![A-Za-z])", "".join(f"[{c.upper()}{c}]" for c in word), pattern)
-    return rule.kind, pattern, rule.group, rule.least
+    return rule.kind, pattern, rule.group, rule.least, rule.after_no
 
 
 ORACLE_SQL: dict[str, str] = {

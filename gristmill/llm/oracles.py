@@ -44,7 +44,8 @@ ends AS (
   SELECT a.conv_id, a.turn, coalesce(b.text, '') AS stale
   FROM said a LEFT JOIN said b ON a.conv_id = b.conv_id AND b.r = 2 WHERE a.r = 1),
 sides AS (
-  SELECT 'c' AS side, conv_id, turn, role, text FROM conversations
+  SELECT 'c' AS side, c.conv_id, c.turn, role, text
+  FROM conversations c JOIN ends e ON c.conv_id = e.conv_id AND c.turn <= e.turn
   UNION ALL
   SELECT 'r', c.conv_id, c.turn, role, CASE WHEN c.turn = e.turn THEN stale ELSE text END
   FROM conversations c JOIN ends e ON c.conv_id = e.conv_id AND c.turn <= e.turn),
@@ -94,18 +95,20 @@ def secret_scans(rules, n_base: int) -> str:
     text between marks then give the places.  The marks are control characters
     that stand for nothing in the texts.
 
-    ``rules`` are (kind, expression, group, least length); the expressions are
-    plain enough to mean the same to both engines, with both cases spelled out.
+    ``rules`` are (kind, pattern, group, least length, class that may not stand
+    before); the patterns are plain enough to mean the same to both engines, with
+    both cases spelled out.
     """
     parts = []
-    for order, (kind, pattern, group, least) in enumerate(rules):
+    for order, (kind, pattern, group, least, after_no) in enumerate(rules):
         quoted = pattern.replace("'", "''")
+        marked = f"(^|[^{after_no[1:]})({quoted})" if after_no else f"()({quoted})"
         parts.append(f"""
   SELECT doc_id, {order} AS o, '{kind}' AS kind, {least} AS least, i, p, left(p, strpos(p, chr(2)) - 1) AS m,
     regexp_extract(left(p, strpos(p, chr(2)) - 1), '{quoted}', {group}) AS g
   FROM (
     SELECT doc_id, unnest(ps) AS p, unnest(range(0, len(ps))) AS i
-    FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '{quoted}', chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS ps FROM documents))""")
+    FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '{marked}', '\\1' || chr(1) || '\\2' || chr(2), 'g'), chr(1)) AS ps FROM documents))""")
     counts = ", ".join(f"count(*) FILTER (WHERE kind = '{rules[k][0]}') AS n_{rules[k][0]}" for k in range(n_base))
     return f"""
 WITH pieces AS ({" UNION ALL ".join(parts)}),

@@ -6,49 +6,68 @@ as the prompt; what is left of each is a completion, with the spans of text
 that a model is trained on (the assistant's turns, with the mark that ends
 them).  Spans count code points of prompt and completion together.
 
-Both sides are grouped by the id in one shuffle.
+Both sides are grouped by the id in one shuffle, and each pair is rendered in
+one pass over its turns.
 
 Defined results: turns are in the order of their number, then of role and text;
-null roles and texts count as empty; a null turn number comes first; a pair of
-which one side is missing has an empty prompt and an empty completion on that
-side; equal conversations have all turns in the prompt and empty completions;
-repeated rows are turns of their own; an empty table gives an empty result.
-Other columns are ignored.
+null roles and texts count as empty; a null turn number comes first; turns
+without an id belong to no pair and take no part; a pair of which one side is
+missing has an empty prompt and an empty completion on that side; equal
+conversations have all turns in the prompt and empty completions; repeated rows
+are turns of their own; an empty table gives an empty result.  Other columns
+are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BEGIN, AFTER_ROLE, END = "<|im_start|>", "\n", "<|im_end|>\n"
 TRAINED = "assistant"
+_SPANS = "array<struct<start:int,end:int>>"
+_ARROW_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-
-def _render(turn: Column) -> Column:
-    return F.concat(F.lit(BEGIN), turn["role"], F.lit(AFTER_ROLE), turn["text"], F.lit(END))
+Turns = list[tuple[str, str]]
 
 
-def _text(turns: Column) -> Column:
-    return F.array_join(F.transform(turns, _render), "")
+def render(turns: Turns, start: int = 0) -> tuple[str, list[dict[str, int]]]:
+    """The text of turns, and the trained spans in it, counted from ``start``."""
+    parts, spans = [], []
+    for role, text in turns:
+        shown = f"{BEGIN}{role}{AFTER_ROLE}{text}{END}"
+        if role == TRAINED:
+            spans.append({"start": start + len(BEGIN) + len(role) + len(AFTER_ROLE), "end": start + len(shown)})
+        start += len(shown)
+        parts.append(shown)
+    return "".join(parts), spans
 
 
-def _spans(turns: Column, start: Column) -> Column:
-    """(start, end) of the trained parts of ``turns``, rendered from ``start`` on."""
-    spans = "array<struct<start:int,end:int>>"
+def common(chosen: Turns, rejected: Turns) -> int:
+    """How many turns both begin with."""
+    return next((i for i, (a, b) in enumerate(zip(chosen, rejected)) if a != b), min(len(chosen), len(rejected)))
 
-    def step(at: Column, turn: Column) -> Column:
-        end = at["at"] + F.length(_render(turn))
-        begin = at["at"] + len(BEGIN) + F.length(turn["role"]) + len(AFTER_ROLE)
-        own = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(turn["role"] == TRAINED, F.concat(at["spans"], own)).otherwise(at["spans"]).alias("spans"))
 
-    return F.aggregate(turns, F.struct(start.alias("at"), F.array().cast(spans).alias("spans")), step, lambda at: at["spans"])
+def _formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):  # a pair at a time bounds the memory
+            c, r = ([(t["role"], t["text"]) for t in batch.column(k)[i].as_py()] for k in (1, 2))
+            n = common(c, r)
+            prompt, _ = render(c[:n])
+            (chosen, c_spans), (rejected, r_spans) = (render(x[n:], len(prompt)) for x in (c, r))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(i, 1), pa.array([n]), *(pa.array([x], pa.string()) for x in (prompt, chosen, rejected)), *(pa.array([x], _ARROW_SPANS) for x in (c_spans, r_spans))],
+                ["pair_id", "n_common", "prompt", "chosen", "rejected", "chosen_spans", "rejected_spans"],
+            )
 
 
 def _turns(df: DataFrame, side: str, id_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((role_col, "role"), (text_col, "text"))]
-    return df.select(F.col(id_col).alias("pair_id"), F.lit(side).alias("side"), F.struct(F.col(turn_col).cast("long").alias("turn"), *text).alias("t"))
+    rows = df.select(F.col(id_col).alias("pair_id"), F.lit(side).alias("side"), F.struct(F.col(turn_col).cast("long").alias("turn"), *text).alias("t"))
+    return rows.filter(F.col("pair_id").isNotNull())
 
 
 def format_pairs(chosen: DataFrame, rejected: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -56,45 +75,39 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame, id_col: str = "conv_id"
     both = _turns(chosen, "c", id_col, turn_col, role_col, text_col).unionByName(_turns(rejected, "r", id_col, turn_col, role_col, text_col))
 
     def of(side: str) -> Column:
-        turns = F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("t"))))
-        return F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+        return F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("t"))))
 
     pairs = both.groupBy("pair_id").agg(of("c").alias("c"), of("r").alias("r"))
-    shorter = F.least(F.size("c"), F.size("r"))
-    differ = F.filter(F.sequence(F.lit(1), shorter), lambda i: F.get("c", i - 1) != F.get("r", i - 1))
-    common = F.when(shorter == 0, F.lit(0)).otherwise(F.coalesce(F.array_min(differ) - 1, shorter))
-    pairs = pairs.withColumn("n_common", common)
-
-    def rest(side: str) -> Column:
-        return F.slice(side, F.col("n_common") + 1, F.size(side))
-
-    pairs = pairs.select("pair_id", "n_common", _text(F.slice("c", F.lit(1), F.col("n_common"))).alias("prompt"), rest("c").alias("c"), rest("r").alias("r"))
-    start = F.length("prompt")
-    return pairs.select(
-        "pair_id",
-        F.col("n_common").cast("long").alias("n_common"),
-        "prompt",
-        _text(F.col("c")).alias("chosen"),
-        _text(F.col("r")).alias("rejected"),
-        _spans(F.col("c"), start).alias("chosen_spans"),
-        _spans(F.col("r"), start).alias("rejected_spans"),
-    )
+    kind = pairs.schema["pair_id"].dataType.simpleString()
+    return pairs.mapInArrow(_formatted, f"pair_id {kind}, n_common long, prompt string, chosen string, rejected string, chosen_spans {_SPANS}, rejected_spans {_SPANS}")
+
+
+def _replied(turns: DataFrame, id_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    """The turns of each conversation up to its last reply, with the number of that
+    turn (``_last``) and the text of the reply before it (``_said``)."""
+    named = turns.select(F.col(id_col).alias(id_col), F.col(turn_col).cast("long").alias(turn_col), F.col(role_col).alias(role_col), F.col(text_col).alias(text_col))
+    replies = named.filter((F.col(role_col) == TRAINED) & F.col(id_col).isNotNull())
+    at = Window.partitionBy(id_col).orderBy(F.desc_nulls_last(turn_col), F.desc(text_col))
+    two = replies.withColumn("_nth", F.row_number().over(at)).filter("_nth <= 2")
+    last = two.groupBy(id_col).agg(F.max(F.when(F.col("_nth") == 1, F.col(turn_col))).alias("_last"), F.max(F.when(F.col("_nth") == 2, F.col(text_col))).alias("_said"))
+    return named.join(last, id_col).filter(F.col(turn_col).isNull() | (F.col(turn_col) <= F.col("_last")))
+
+
+def to_last_reply(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """The conversations that have an assistant's turn, each up to its last one."""
+    return _replied(turns, id_col, turn_col, role_col, text_col).select(id_col, turn_col, role_col, text_col)
 
 
 def stale_replies(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """A rejected side for a table of plain conversations.
 
-    Each conversation that has an assistant's turn is repeated up to its last
-    one, which says again what the assistant's turn before it said (or nothing,
-    if it is the first): a reply that does not answer the last question.
+    As :func:`to_last_reply`, but the last reply says again what the assistant's
+    turn before it said (or nothing, if it is the first): a reply that does not
+    answer the last question.
     """
-    named = turns.select(F.col(id_col).alias(id_col), F.col(turn_col).cast("long").alias(turn_col), F.col(role_col).alias(role_col), F.col(text_col).alias(text_col))
-    own = F.when(F.col(role_col) == TRAINED, F.struct(F.col(turn_col).alias("turn"), F.col(text_col).alias("text")))
-    said = named.groupBy(id_col).agg(F.sort_array(F.collect_list(own), asc=False).alias("said")).filter(F.size("said") > 0)
-    joined = named.join(said, id_col).filter(F.col(turn_col) <= F.get("said", F.lit(0))["turn"])
-    last = (F.col(role_col) == TRAINED) & (F.col(turn_col) == F.get("said", F.lit(0))["turn"])
-    text = F.when(last, F.coalesce(F.get("said", F.lit(1))["text"], F.lit(""))).otherwise(F.col(text_col))
-    return joined.select(id_col, turn_col, role_col, text.alias(text_col))
+    rows = _replied(turns, id_col, turn_col, role_col, text_col)
+    last = (F.col(role_col) == TRAINED) & F.col(turn_col).eqNullSafe(F.col("_last"))
+    return rows.select(id_col, turn_col, role_col, F.when(last, F.coalesce("_said", F.lit(""))).otherwise(F.col(text_col)).alias(text_col))
 
 
 def spans_text(col: str) -> Column:

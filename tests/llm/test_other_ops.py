@@ -27,36 +27,43 @@ def test_sql(same_as_sql, name):
 
 
 def slow_search(rows, queries, k):
+    """Of (id, vector) rows the best for each place in ``queries``, which are places in ``rows``."""
+    whole = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows]
     out = []
-    for q, v in queries.items():
-        a = [int(np.floor(256 * float(x))) for x in v]
-        scored = sorted((-sum(x * int(np.floor(256 * float(y))) for x, y in zip(a, w)), i) for i, w in rows if i != q and len(w) == len(v))
+    for at in queries:
+        q, a = whole[at]
+        scored = sorted((-max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, w)))), i) for j, (i, w) in enumerate(whole) if j != at and len(w) == len(a))
         out += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:k], 1)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [3, 4096])
-def test_search_by_brute_force(spark, block):
+@pytest.mark.parametrize("block, limit", [(3, -1), (512, topk.BROADCAST_BYTES)])
+def test_search_by_brute_force(spark, block, limit):
     rng = np.random.default_rng(3)
     vectors = [(i, rng.normal(size=6).round(2).tolist()) for i in range(150)]
-    vectors += [(200 + i, [0.5] * 6) for i in range(60)] + [(300, [0.0] * 6), (301, [1e4] * 6), (302, [-1e4] * 6), (7, [9.0] * 6), (303, [1.0] * 3), (304, [2.0] * 3), (306, [])]
+    vectors += [(200 + i, [0.5] * 6) for i in range(60)] + [(300, [0.0] * 6), (301, [1e4] * 6), (302, [-1e4] * 6), (7, [9.0] * 6), (7, [9.0] * 6), (14, [0.25] * 6), (303, [1.0] * 3), (304, [2.0] * 3), (306, [])]
     odd = [(400, None), (401, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (None, [1.0] * 6)]
     df = spark.createDataFrame(vectors + odd, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash")).withColumn("q", F.lit(1))
     df = df.repartition(5)
-    got = topk.search(df, df.filter("vec_id % 7 = 0 OR vec_id > 290"), 4, block=block)
-    queries = {}
-    for i, v in vectors:
-        if i % 7 == 0 or i > 290:
-            queries[i] = min(queries[i], v) if i in queries else v
+    got = topk.search(df, df.filter("vec_id % 7 = 0 OR vec_id > 290"), 4, block=block, broadcast_bytes=limit)
+    queries = [at for at, (i, _) in enumerate(vectors) if i % 7 == 0 or i > 290]
     assert sorted(map(tuple, got.collect())) == slow_search(vectors, queries, 4)
 
 
 def test_huge_components(spark):
-    df = spark.createDataFrame([(0, [1e12, 1.0]), (1, [1e12, 3.0]), (2, [1e12, 2.0]), (3, [-1e12, 0.0]), (4, [1e300, 1.0])], "vec_id long, embedding array<double>")
-    got = {r.vec_id: r.score for r in topk.search(df, df.filter("vec_id = 0"), 10).collect()}
-    assert got == {1: 2**61, 2: 2**61, 3: -(2**61), 4: 2**61}
-    small = df.select("vec_id", F.transform("embedding", lambda x: x / 1e6).alias("embedding")).filter("vec_id < 4")
-    assert sorted(map(tuple, topk.search(small, small.filter("vec_id = 0"), 10).collect())) == slow_search([tuple(r) for r in small.collect()], {0: [1e6, 1e-6]}, 10)
+    """Exact over all longs, and held at their ends beyond."""
+    rows = [(0, [5e6] * 4), (1, [5e6] * 4), (2, [5e6, 5e6, 5e6, 5e6 - 1 / 256]), (3, [-5e6] * 4), (4, [5.5e6] * 4), (5, [1e12, 1.0, 0.0, 0.0]), (6, [1e300, 0.0, 0.0, 0.0]), (7, [-1e300, 0.0, 0.0, 0.0]), (8, [0.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.search(df, df.filter("vec_id IN (0, 3, 5, 8)"), 3).collect()))
+    assert got == slow_search(rows, [0, 3, 5, 8], 3)
+    assert {r[3] for r in got} >= {4 * 1_280_000_000 * 1_408_000_000, 2**63 - 1, 0}
+
+
+def test_repeated_ids_are_queries_and_candidates_of_their_own(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.search(df, df.filter("vec_id = 0"), 5).collect()))
+    assert got == slow_search(rows, [0, 1, 2], 5) and len(got) == 9
 
 
 def test_search_of_nothing(spark):
@@ -101,10 +108,29 @@ def test_pairs(spark):
     assert preferences.format_pairs(a.limit(0), b.limit(0)).count() == 0
 
 
-def test_stale_replies(spark):
-    df = turns(spark, [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "r"), (1, 3, "assistant", "b"), (1, 4, "user", "z"), (2, 0, "user", "q"), (3, 1, "assistant", "only"), (3, 0, "user", "q")])
+def test_both_sides_end_at_the_last_reply(spark):
+    df = turns(spark, [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "r"), (1, 3, "assistant", "b"), (1, 4, "user", "z"), (2, 0, "user", "q"), (3, 1, "assistant", "only"), (3, 0, "user", "q"), (None, 0, "assistant", "x")])
     got = sorted(tuple(r)[:4] for r in preferences.stale_replies(df).collect())
     assert got == [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "r"), (1, 3, "assistant", "a"), (3, 0, "user", "q"), (3, 1, "assistant", "")]
+    got = sorted(tuple(r)[:4] for r in preferences.to_last_reply(df).collect())
+    assert got == [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "r"), (1, 3, "assistant", "b"), (3, 0, "user", "q"), (3, 1, "assistant", "only")]
+
+
+def test_pairs_of_the_table_end_alike(spark):
+    """Only conversations with a reply come out, each side one trained turn beyond the prompt or equal to it."""
+    asked = {r.conv_id for r in spark.read.parquet(f"{SMALL}/conversations.parquet").filter("role = 'assistant'").collect()}
+    rows = catalog.op4_chat_formatting(spark, SMALL).collect()
+    assert {r.conv_id for r in rows} == asked and len(rows) == len(asked)
+    for r in rows:
+        for side in (r.chosen, r.rejected):
+            assert side == "" or side.startswith("<|im_start|>assistant") and side.count("<|im_start|>") == 1
+        assert bool(r.chosen_spans) == bool(r.chosen)
+
+
+def test_long_conversations(spark):
+    df = spark.range(20_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.lit("x").alias("text"))
+    (row,) = preferences.format_pairs(df, df.filter("turn > 0")).collect()
+    assert row.n_common == 0 and len(row.chosen_spans) == len(row.rejected_spans) == 10_000
 
 
 # URLs

@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,9 +80,39 @@ def test_queries_never_miss(pattern):
     rng, query = random.Random(pattern), trigrams.trigram_query(pattern)
     words = ["ab", "cd", "efg", "h", "x", "yz", "wv", "q", "a", "c", "e", "g", "hello", "help", "foo1bar", "aaa", "b", "start", "end", " "]
     texts = ["".join(rng.choices(words, k=rng.randint(0, 7))) for _ in range(2_000)]
-    postings = {t: {i for i, x in enumerate(texts) if t in x} for t in trigrams.trigrams(query)}
-    held = trigrams.rows(query, postings, set(range(len(texts))))
-    assert {i for i, x in enumerate(texts) if re.search(pattern, x)} <= held
+    texts += ["", *(x.upper() for x in texts[:50])]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    index = trigrams.Index(sorted(trigrams.trigrams(query)), raw, np.cumsum([len(x) for x in texts]))
+    assert {i for i, x in enumerate(texts) if re.search(pattern, x)} <= set(index.rows(query).tolist())
+    for t, held in index.postings.items():
+        assert held.tolist() == [i for i, x in enumerate(texts) if t in x.lower()]
+
+
+def test_an_index_of_many_blocks(monkeypatch):
+    monkeypatch.setattr(trigrams, "_BYTES", 5)
+    texts = ["abcab", "", "éabc", "ab", "cABCabcABC"]
+    ends = np.cumsum([len(x.encode()) for x in texts])
+    index = trigrams.Index(["abc", "cab", "xyz"], np.frombuffer("".join(texts).encode(), np.uint8), ends)
+    assert {t: x.tolist() for t, x in index.postings.items()} == {"abc": [0, 2, 4], "cab": [0, 4], "xyz": []}
+    assert trigrams.Index(["abc"], np.zeros(0, np.uint8), np.zeros(0, np.int64)).rows("abc").tolist() == []
+
+
+def test_letters_that_fold_beyond_ascii_are_not_mandatory():
+    assert trigrams.trigram_query("tokens", re.IGNORECASE) is True
+    assert trigrams.trigram_query("tokens", re.IGNORECASE | re.ASCII) == ("and", frozenset({"tok", "oke", "ken", "ens"}))
+    assert trigrams.trigram_query("éabc") == "abc" and trigrams.trigram_query("[éa]bc") is True
+
+
+@pytest.mark.parametrize("unit", ["eyJ", "token", "token =", "password ", "AKIA", "0123456789abcde ", "xoxb-", "gho_", "-----BEGIN ", "eyJaaaaaaaa.", "AIza"])
+def test_long_texts_take_time_in_proportion(unit):
+    took = []
+    for n in (100_000, 400_000):
+        text = unit * (n // len(unit)) + " .eyJ"
+        began = time.process_time()
+        for rule in secrets.RULES:
+            sum(1 for _ in re.finditer(rule.expression, text, rule.flags))
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.3
 
 
 def test_no_documents_no_secrets(spark):
