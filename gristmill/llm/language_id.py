@@ -5,10 +5,11 @@ support vector machines vote between each two of its languages.  Features are
 the frequencies of hashed character n-grams over letters (anything else counts
 as a space), over the whole text.
 
-The classifier is fitted on the driver from a bounded sample: of each language
-at most ``per_language`` labelled documents of at most ``longest`` characters,
-and at most ``MOST_LANGUAGES`` languages, the most frequent ones.  Prediction
-covers every row and shuffles nothing.
+The classifier is fitted on the driver from a bounded sample: ``SAMPLE``
+labelled documents, shared evenly by all languages and at most ``per_language``
+of each, of at most ``longest`` characters.  The bound is one of rows; any
+number of languages is learned while each can have a row.  Prediction covers
+every row and shuffles nothing.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 without labelled rows every text is ``und``; with one language learned it is
@@ -28,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,7 +48,8 @@ FAMILIES = {
 UNKNOWN = "und"
 BUCKETS = 1 << 13
 ORDERS = 3
-MOST_LANGUAGES = 64
+#: Sampled documents in all, and of one language.
+SAMPLE = 2_400
 PER_LANGUAGE = 200
 LONGEST = 20_000
 #: Each sampled text is learned whole and by a part of so many characters.
@@ -176,9 +178,15 @@ def fit(texts: list[str], langs: list[str], families: dict[str, tuple[str, ...]]
     # Machines of families are (-1, f, f); those of two languages (family, a, b).
     jobs = [((-1, f, f), np.ones(len(labels), bool), np.isin(labels, g)) for f, g in enumerate(groups)] if len(groups) > 1 else []
     jobs += [((f, a, b), np.isin(labels, (g[a], g[b])), labels == g[a]) for f, g in enumerate(groups) for a, b in combinations(range(len(g)), 2)]
-    fitted = [svm(x if rows.all() else x[rows], np.where(yes[rows], 1.0, -1.0), cost=10.0) for _, rows, yes in jobs]
-    weights = np.stack([w * scale / size for w, _ in fitted], 1) if fitted else np.zeros((BUCKETS, 0))
-    return Model(groups, tuple(m for m, *_ in jobs), np.ascontiguousarray(weights, np.float32), np.array([b for _, b in fitted]))
+    gram = x @ x.T + np.float32(1)  # the one is the bias
+    weights, bias = np.zeros((BUCKETS, len(jobs)), np.float32), np.zeros(len(jobs))
+    for i, (_, rows, yes) in enumerate(jobs):
+        of = np.flatnonzero(rows)
+        part = gram if len(of) == len(gram) else gram[np.ix_(of, of)]
+        shares = np.zeros(len(gram), np.float32)
+        shares[of] = svm(part, np.where(yes[of], 1.0, -1.0), cost=10.0)
+        weights[:, i], bias[i] = (shares @ x) * scale / size, float(shares.sum(dtype=np.float64))
+    return Model(groups, tuple(m for m, *_ in jobs), weights, bias)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -186,25 +194,23 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 4 == 2
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, longest: int = LONGEST) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, longest: int = LONGEST, sample: int = SAMPLE) -> Model:
     """Fit on a bounded sample of the labelled documents that are not held out."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    rows = rows.filter(F.length("text") <= longest)
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()
+    if not counts:
+        return fit([], [])
+    each = max(1, min(per_language, sample // len(counts)))
     # Keep rows by a hash of the id, so that about twice the sample is left, and of these the first by hash.
     order = F.xxhash64(F.lit(6), "id")
-    texts, langs = [], []
-    if counts:
-        share = F.create_map(*[x for lang, n in counts for x in (F.lit(lang), F.lit(min(1.0, 2.0 * per_language / n)))])
-        chosen = rows.filter((F.pmod(order, F.lit(1_000_000)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * 1_000_000) & (F.length("text") <= longest))
-        sample = chosen.orderBy(order, F.xxhash64("text")).limit(2 * per_language * len(counts)).select("lang", "text").collect()
-        taken: dict[str, int] = {}
-        for lang, text in sample:
-            if taken.get(lang, 0) < per_language:
-                taken[lang] = taken.get(lang, 0) + 1
-                texts.append(text)
-                langs.append(lang)
-    return fit(texts, langs)
+    shares = rows.sparkSession.createDataFrame([(lang, min(1.0, (2.0 * each + 8) / n)) for lang, n in counts], "lang string, share double")
+    chosen = rows.join(F.broadcast(shares), "lang").filter(F.pmod(order, F.lit(1_000_000_000)) <= F.col("share") * 1_000_000_000)
+    first = Window.partitionBy("lang").orderBy(order, F.xxhash64("text"))
+    taken = chosen.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= each).select("lang", "text").collect()
+    taken.sort(key=lambda r: (r["lang"], r["text"]))
+    return fit([r["text"] for r in taken], [r["lang"] for r in taken])
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:

@@ -5,14 +5,13 @@ from __future__ import annotations
 import numpy as np
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear support vector machine (y is -1 or 1).
+def svm(gram: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 60) -> np.ndarray:
+    """Shares of the rows in the weights of a linear support vector machine (y is -1 or 1).
 
-    Dual coordinate descent over the Gram matrix, in a fixed order, with the
-    costs weighed so that both classes count alike.
+    Dual coordinate descent over the rows' inner products, one added for the
+    bias, in a fixed order, with the costs weighed so that both classes count
+    alike.  Weights are ``shares @ x`` and the bias is ``shares.sum()``.
     """
-    x = x.astype(np.float32, copy=False)
-    gram = x @ x.T + np.float32(1)  # the one is the bias
     share = np.where(y > 0, (y > 0).sum(), (y < 0).sum())
     upper = cost * len(y) / (2.0 * np.maximum(share, 1))
     alpha, margin, diagonal = np.zeros(len(y)), np.zeros(len(y)), np.maximum(gram.diagonal(), 1e-12).astype(np.float64)
@@ -28,16 +27,17 @@ def svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 60) -> tu
                 most = max(most, abs(step))
         if most < 1e-4:
             break
-    return (alpha * y).astype(np.float32) @ x, float((alpha * y).sum())
+    return alpha * y
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds: int = 400, rate: float = 0.5) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression (y is 0 or 1), by gradient descent with momentum."""
+    """Weights and bias of a logistic regression (y is 0 or 1), by gradient descent with momentum, both classes counting alike."""
+    each = len(y) / (2 * np.where(y > 0, (y > 0).sum(), (y <= 0).sum()))
     w, b = np.zeros(x.shape[1]), 0.0
     vw, vb = np.zeros_like(w), 0.0
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -40, 40)))
-        vw = 0.9 * vw - rate * (x.T @ (p - y) / len(y) + penalty * w)
-        vb = 0.9 * vb - rate * float(np.mean(p - y))
+        vw = 0.9 * vw - rate * (x.T @ (each * (p - y)) / len(y) + penalty * w)
+        vb = 0.9 * vb - rate * float(np.mean(each * (p - y)))
         w, b = w + vw, b + vb
     return w, b

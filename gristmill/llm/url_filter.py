@@ -28,51 +28,50 @@ from .linear import logistic
 
 #: (verdict, host and path).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-BUCKETS = 1 << 12
+BUCKETS = 1 << 14
+PENALTY = 5e-4
 GRAMS = (3, 4, 5)
-#: Host and path; 1 is unwanted.
-LABELLED = (
-    ("www.cheap-pills-online.example.com/buy/viagra", 1),
-    ("casino.win-big-money.example.org/poker/bonus", 1),
-    ("free-movies-torrent.example.com/download/crack", 1),
-    ("adult-cams.example.org/xxx/video", 1),
-    ("bet365-odds.example.com/betting/slots", 1),
-    ("ads.tracker.example.com/click/redirect", 1),
-    ("payday-loans-fast.example.org/apply/now", 1),
-    ("login-secure-bank.example.com/verify/account", 1),
-    ("seo-links-cheap.example.org/buy/backlinks", 1),
-    ("hot-singles.example.com/dating/sex", 1),
-    ("keygen-serials.example.org/crack/full", 1),
-    ("replica-watches.example.com/sale/discount", 1),
-    ("lottery-winner.example.org/claim/prize", 1),
-    ("porn-tube.example.com/xxx/free", 1),
-    ("popup.adserver.example.org/banner/track", 1),
-    ("miracle-diet-pills.example.com/offer/order", 1),
-    ("www.science-journal.example.org/articles/physics", 0),
-    ("en.encyclopedia.example.org/wiki/history", 0),
-    ("docs.python-guide.example.com/tutorial/index.html", 0),
-    ("news.daily-paper.example.com/world/politics", 0),
-    ("www.university.example.org/research/publications", 0),
-    ("blog.developer.example.com/posts/databases.html", 0),
-    ("library.city.example.org/catalogue/books", 0),
-    ("www.museum.example.org/exhibitions/art", 0),
-    ("recipes.kitchen.example.com/soup/vegetable", 0),
-    ("weather.service.example.org/forecast/today", 0),
-    ("forum.gardening.example.com/topics/roses", 0),
-    ("www.government.example.org/health/advice", 0),
-    ("school.teachers.example.org/lessons/maths", 0),
-    ("travel.mountains.example.com/guides/alps", 0),
-    ("code.repository.example.org/project/readme", 0),
-    ("www.hospital.example.org/patients/information", 0),
-    ("blog.family.example.com/en/2019.html", 0),
-    ("m.stories.example.org/fr/31675/", 0),
-    ("www.notes.example.net/de/14107.html", 0),
-    ("village.example.com/es/820", 0),
-    ("blog.garden.example.org/en/48010/", 0),
-    ("orchestra.example.com/de/5801.html", 0),
-    ("m.harbour.example.net/fr/9473", 0),
-    ("www.teahouse.example.org/es/30659/", 0),
-)
+#: Words of the labelled table, by what the hosts that carry them are about.
+UNWANTED = {
+    "gambling": ("casino", "poker", "bet", "bets", "betting", "slots", "jackpot", "lottery", "roulette", "win", "winner", "bonus"),
+    "adult": ("adult", "xxx", "porn", "sex", "cams", "escort", "nude", "hot", "singles", "dating"),
+    "pills": ("pills", "viagra", "cialis", "pharmacy", "meds", "diet", "miracle", "cheap"),
+    "advertising": ("ads", "adserver", "tracker", "track", "click", "banner", "popup", "redirect", "affiliate", "pixel"),
+    "spam": ("spam", "farm", "seo", "backlinks", "clickbait", "traffic", "links"),
+    "piracy": ("torrent", "crack", "warez", "keygen", "serials", "free", "download", "movies"),
+    "fraud": ("loans", "payday", "replica", "prize", "claim", "phishing", "malware", "verify", "fast", "cash"),
+}
+WANTED = (
+    "science", "journal", "articles", "physics", "encyclopedia", "wiki", "history", "docs", "guide", "tutorial", "news", "daily", "paper", "world",
+    "politics", "university", "research", "publications", "blog", "developer", "posts", "databases", "library", "city", "catalogue", "books", "museum",
+    "exhibitions", "art", "recipes", "kitchen", "soup", "weather", "forecast", "forum", "gardening", "topics", "roses", "government", "health", "advice",
+    "school", "teachers", "lessons", "maths", "travel", "mountains", "alps", "code", "project", "readme", "hospital", "patients", "stories", "notes",
+    "village", "orchestra", "harbour", "teahouse", "weaver", "thunder", "northern", "together", "brother", "another", "nation", "motion", "station",
+)
+_LEADS, _ENDS, _LANGS = ("", "www.", "m.", "blog."), ("example.com", "example.org", "example.net"), ("en", "de", "fr", "es")
+_TAILS = ("", "/", ".html")
+
+
+def _urls(hosts: list[str]) -> list[str]:
+    """Hosts with leads, ends and paths in turn, so that only their names tell them apart."""
+    return [f"{_LEADS[i % 4]}{host}.{_ENDS[i % 3]}/{_LANGS[i // 2 % 4]}/{7919 * (i + 1) % 50_000}{_TAILS[i % 3]}" for i, host in enumerate(hosts)]
+
+
+def labelled() -> tuple[tuple[str, int], ...]:
+    """The labelled table: host and path, and whether it is unwanted.
+
+    Unwanted hosts are each word alone and beside another of its topic;
+    wanted ones each word alone, two of them, and names put together from
+    syllables, as names of companies are.
+    """
+    bad = [w for words in UNWANTED.values() for i, w in enumerate(words) for w in (w, f"{w}-{words[(i + 5) % len(words)]}")]
+    good = [w for i, w in enumerate(WANTED) for w in (w, f"{w}-{WANTED[(i + 5) % len(WANTED)]}")]
+    syllables = ("th", "er", "on", "an", "re", "ti", "ing", "ly", "ou", "st", "ha", "nd", "es", "or", "ea")
+    good += [syllables[a] * n + syllables[(a + b) % 15] for a in range(15) for b in (1, 4, 7, 11, 13) for n in (1, 2)]
+    return tuple((url, 1) for url in _urls(bad)) + tuple((url, 0) for url in _urls(good))
+
+
+LABELLED = labelled()
 
 
 def host_and_path(url: str = "url") -> tuple[Column, Column]:
@@ -97,15 +96,21 @@ def rule(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES) -
     return name, verdict
 
 
-def features(texts: list[str]) -> np.ndarray:
-    """Frequencies of hashed n-grams, one row of unit length for each text."""
+def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text's n-grams and their shares, a vector of unit length."""
+    raw = f"^{text}$".encode("utf-8", "surrogatepass")
+    found = [zlib.crc32(raw[j : j + n]) % BUCKETS for n in GRAMS for j in range(len(raw) - n + 1)]
+    at, counts = np.unique(np.array(found, np.int64), return_counts=True)
+    return at, counts / max(float(np.sqrt((counts * counts).sum())), 1e-9)
+
+
+def features(texts: Sequence[str]) -> np.ndarray:
+    """One row of unit length for each text."""
     out = np.zeros((len(texts), BUCKETS))
     for i, text in enumerate(texts):
-        raw = f"^{text}$".encode("utf-8", "surrogatepass")
-        for n in GRAMS:
-            for j in range(len(raw) - n + 1):
-                out[i, zlib.crc32(raw[j : j + n]) % BUCKETS] += 1
-    return out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-9)
+        at, share = _grams(text)
+        out[i, at] = share
+    return out
 
 
 def train(labelled: Sequence[tuple[str, int]] = LABELLED) -> tuple[np.ndarray, float]:
@@ -113,25 +118,28 @@ def train(labelled: Sequence[tuple[str, int]] = LABELLED) -> tuple[np.ndarray, f
     y = np.array([label for _, label in labelled], float)
     if not 0 < y.sum() < len(y):
         return np.zeros(BUCKETS), -1.0
-    return logistic(features([text for text, _ in labelled]), y, penalty=1e-3)
+    return logistic(features([text for text, _ in labelled]), y, penalty=PENALTY, rounds=800, rate=1.0)
+
+
+def score(text: str, weights: np.ndarray, bias: float) -> float:
+    """The chance that a host and path is unwanted."""
+    at, share = _grams(text)
+    return float(1 / (1 + np.exp(-np.clip(share @ weights[at] + bias, -40, 40))))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labelled: Sequence[tuple[str, int]] = LABELLED, threshold: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``page_id, host, path, rule, verdict, score`` of every row."""
     weights, bias = train(labelled)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = []
-            for lo in range(0, batch.num_rows, 1_000):
-                texts = [a + b for a, b in zip(batch.column(1).slice(lo, 1_000).to_pylist(), batch.column(2).slice(lo, 1_000).to_pylist())]
-                p.append(1 / (1 + np.exp(-np.clip(features(texts) @ weights + bias, -40, 40))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(p) if p else np.zeros(0))], [*batch.schema.names, "score"])
+            p = [score(a.as_py() + b.as_py(), weights, bias) for a, b in zip(batch.column(1), batch.column(2))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], [*batch.schema.names, "score"])
 
     host, path = host_and_path(url_col)
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     name, verdict = rule(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", name.alias("rule"), verdict.alias("ruled"))
-    scored = rows.mapInArrow(score, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+    found = rows.mapInArrow(scored, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
     own = F.when(F.col("score") >= threshold, "block").otherwise("allow")
-    return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "score")
+    return found.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "score")

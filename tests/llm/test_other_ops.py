@@ -1,6 +1,8 @@
 """Top-k, preferences, URLs, the SQL of queries, and the pipeline."""
 
+import math
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -171,15 +173,46 @@ def test_urls_on_the_table(spark):
         assert (got[p.page_id].host, got[p.page_id].path, got[p.page_id].rule) == (host, path, best and best[1])
 
 
-def test_regression_generalizes():
-    """Each labelled url is judged right by what the others teach, four times in five."""
-    table = url_filter.LABELLED
-    weights, bias = url_filter.train(table)
-    x = url_filter.features([t for t, _ in table])
-    assert (((x @ weights + bias) > 0) == [bool(y) for _, y in table]).all()
-    fresh = [("cheap-viagra-pills.example.com/buy/pills", 1), ("www.casino-poker.example.org/bonus/slots", 1), ("free-xxx-porn.example.com/video", 1), ("history.encyclopedia.example.org/wiki/science", 0), ("docs.guide.example.com/tutorial/lessons.html", 0), ("m.tionsh.example.com/en/19589.html", 0)]
-    p = url_filter.features([t for t, _ in fresh]) @ weights + bias > 0
-    assert p.tolist() == [bool(y) for _, y in fresh]
+def slow_score(text, weights, bias):
+    raw, counts = f"^{text}$".encode(), {}
+    for n in (3, 4, 5):
+        for j in range(len(raw) - n + 1):
+            h = zlib.crc32(raw[j : j + n]) % url_filter.BUCKETS
+            counts[h] = counts.get(h, 0) + 1
+    length = math.sqrt(sum(c * c for c in counts.values()))
+    return 1 / (1 + math.exp(-(sum(c * weights[h] for h, c in counts.items()) / max(length, 1e-9) + bias)))
+
+
+def test_verdicts_by_brute_force(spark):
+    """Score and verdict of every page, from the weights alone."""
+    weights, bias = url_filter.train()
+    urls = {p.page_id: p.url for p in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
+    rows = catalog.op8_url_filters(spark, SMALL).collect()
+    assert {r.page_id for r in rows} == set(urls)
+    for r in rows:
+        host, path, best = slow_rule(urls[r.page_id])
+        p = slow_score(host + path, weights, bias)
+        assert abs(r.score - p) < 1e-9 and r.verdict == (best[0] if best else "block" if p >= 0.5 else "allow")
+
+
+#: Names of hosts that are plainly unwanted; no labelled url has such a host.
+UNSEEN = ("casino-win", "spam-farm", "adult-x", "cheap-pills", "free-bets", "ads-track")
+
+
+def test_regression_on_hosts_it_never_saw(spark):
+    """Of the pages of unwanted hosts nine in ten are found, of all others one in fifty."""
+    assert not [u for u, _ in url_filter.LABELLED if any(f"{h}." in u for h in UNSEEN)]
+    weights, bias = url_filter.train()
+    found = {True: [], False: []}
+    for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select(*[c.alias(n) for c, n in zip(url_filter.host_and_path(), ("host", "path"))]).collect():
+        found[any(h in r.host for h in UNSEEN)].append(url_filter.score(r.host + r.path, weights, bias) >= 0.5)
+    assert len(found[True]) > 100 and np.mean(found[True]) >= 0.9
+    assert np.mean(found[False]) <= 0.02
+
+
+def test_regression_learns_its_table():
+    weights, bias = url_filter.train()
+    assert all((url_filter.score(t, weights, bias) > 0.5) == bool(y) for t, y in url_filter.LABELLED)
     assert url_filter.train([("a", 0)])[1] < 0
 
 
@@ -187,7 +220,8 @@ def test_linear_models():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 5))
     y = x @ [1, -2, 0, 0.5, 0] + 0.3 > 0
-    w, b = svm(x, np.where(y, 1.0, -1.0), cost=10)
+    shares = svm(x @ x.T + 1, np.where(y, 1.0, -1.0), cost=10)
+    w, b = shares @ x, shares.sum()
     assert ((x @ w + b > 0) == y).mean() > 0.97
     w, b = logistic(x, y.astype(float), penalty=1e-4)
     assert ((x @ w + b > 0) == y).mean() > 0.97

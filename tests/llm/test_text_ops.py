@@ -1,8 +1,11 @@
 """Secrets, decontamination, languages, lines."""
 
 import hashlib
+import math
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 
@@ -205,6 +208,71 @@ def test_prediction_ignores_the_batch():
         assert one == [names[i]] and abs(own[0] - score[i]) < 1e-9
 
 
+def slow_margins(model, text):
+    """Of each machine: the mean weight of the text's n-grams, and the bias."""
+    codes = [32, *(ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else ord(c) if c.isalpha() else 32 for c in text), 32, 32]
+    total = np.zeros(len(model.machines))
+    for i in range(len(codes)):
+        h = 0
+        for n in range(3):
+            h = (h ^ (codes[i - n] if i >= n else 32)) * 0x9E3779B1 % 2**32
+            total += model.weights[((h ^ h >> 15) * (0x85EBCA6B + 2 * n) % 2**32) >> 19]
+    return total / len(codes) + model.bias
+
+
+def slow_predict(model, text):
+    if not any(c.isalpha() for c in text):
+        return "und", 0.0
+    margin = dict(zip(model.machines, slow_margins(model, text)))
+    sure = {m: 1 / (1 + math.exp(-3 * x)) for m, x in margin.items()}
+    n = len(model.families)
+    f = max(range(n), key=lambda f: (margin[-1, f, f], -f)) if n > 1 else 0
+    votes, langs = {}, model.families[f]
+    for a, lang in enumerate(langs):
+        pairs = [(margin[f, a, b], sure[f, a, b]) for b in range(a + 1, len(langs))] + [(-margin[f, b, a], 1 - sure[f, b, a]) for b in range(a)]
+        votes[lang] = (sum(m > 0 for m, _ in pairs), sum(m for m, _ in pairs), min([p for _, p in pairs], default=1.0))
+    best = max(langs, key=lambda x: votes[x][:2])
+    return best, (sure[-1, f, f] if n > 1 else 1.0) * votes[best][2]
+
+
+def test_votes_and_scores_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = language_id.train(docs)
+    rng = random.Random(4)
+    for lang, more in (("nl", "het de een van ij aa oo"), ("it", "che gli della zione"), ("xx", "qz qx zz")):  # families of several, and of one
+        texts = [" ".join(rng.choices(more.split(), k=30)) for _ in range(20)]
+        labelled = [(r.text, r.lang) for r in docs.collect()][:120] + [(t, lang) for t in texts]
+        model = language_id.fit([t for t, _ in labelled], [x for _, x in labelled])
+        some = [t[:400] for t, _ in labelled[::6]] + ["", "1 2", "é", "STRASSE ß", "a b"]
+        names, scores = model.predict(some)
+        for text, name, score in zip(some, names, scores):
+            wanted = slow_predict(model, text)
+            assert name == wanted[0] and abs(score - wanted[1]) < 1e-5, text
+
+
+def test_many_languages_fit_into_the_driver():
+    """A hundred languages, each with its share of the sample, of texts as long as may be."""
+    code = """
+import random, resource, sys
+from gristmill.llm import language_id
+rng, texts, langs = random.Random(1), [], []
+for i in range(100):
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    for _ in range(language_id.SAMPLE // 100):
+        text = " ".join(rng.choices(words, k=4_000))[: language_id.LONGEST]
+        texts.append(text)
+        langs.append(f"l{i}")
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+model = language_id.fit(texts, langs, {"a": tuple(f"l{i}" for i in range(0, 12)), "b": tuple(f"l{i}" for i in range(12, 30))})
+assert sum(map(len, model.families)) == 100
+names, _ = model.predict([t[:500] for t in texts[::24]])
+assert sum(n == x for n, x in zip(names, langs[::24])) >= 95
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(done.stdout) < 800  # MB; the driver's Java side takes the rest of 1,500
+
+
 @pytest.mark.parametrize("langs, wanted", [([], "und"), (["en"], "en"), (["en", "de"], "en"), (["en", "fr", "xx"], "en")])
 def test_few_languages(langs, wanted):
     samples = {"en": "the cat and the dog", "de": "der hund und die katze", "fr": "le chat et le chien", "xx": "qqq zzz qqq"}
