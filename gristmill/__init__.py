@@ -22,6 +22,9 @@ _NAMES = {
     "upload_with_retry": "sinks.adapters",
     "convert": "plans.ingest",
     "ingest": "plans.ingest",
+    "ingest_to": "plans.ingest",
+    "discard": "sinks.store",
+    "sweep": "sinks.adapters",
     "ingest_stream": "streaming.landing",
     "stream_landing": "streaming.landing",
     "read_landing": "sources.files",

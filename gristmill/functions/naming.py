@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import posixpath
 import re
 
@@ -64,16 +63,18 @@ def output_mimetype(fmt: Column) -> Column:
 
 
 def resolve_dir(path: str, root: str | None = None) -> str:
-    """An output folder under ``root``.
+    """An output folder under ``root``, a folder that all executors share.
 
     Leading slashes count for nothing, a drive path stands as it is, and a path
     that leaves the root is refused.
     """
     if not isinstance(path, str) or not path.strip():
         raise TypeError("an output folder must be a path that is not empty")
-    path, root = path.strip(), root or os.getcwd()
+    path = path.strip()
     if re.match(r"[A-Za-z]:[\\/]", path):
         return path
+    if not root:
+        raise ValueError("files that go to disk need a root folder, which all executors share")
     inner = posixpath.normpath(path.lstrip("/\\").replace("\\", "/") or ".")
     if inner == ".." or inner.startswith("../"):
         raise ValueError(f"{path!r} leaves the output root")

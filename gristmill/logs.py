@@ -14,7 +14,7 @@ from .functions.metrics import savings_line
 
 log = logging.getLogger("gristmill")
 
-OUTCOMES = ("stored", "converted", "fallback", "skipped", "unchanged")
+OUTCOMES = ("stored", "converted", "fallback", "skipped", "unchanged", "rejected")
 
 
 def observed(result: DataFrame, name: str = "files") -> tuple[DataFrame, Observation]:
@@ -39,3 +39,17 @@ def say(observation: Observation, quiet: bool = False) -> dict[str, int]:
     if not quiet:
         log.info("%s", savings_line(f"{got['converted']} files converted", got["original_bytes"], got["converted_bytes"]))
     return got
+
+
+def events(result: DataFrame) -> DataFrame:
+    """Log lines of a written result, one for each thing that befell a file: ``arrival_idx, level, line``."""
+    name, error = F.coalesce("originalname", F.lit("file")), F.col("_metadata.errors")
+    why = F.coalesce(*[error[e] for e in ("message", "conversion", "pipeline", "cloudUpload", "diskWrite", "fallback")], F.lit(""))
+    sent = F.col("cloudProvider").isNotNull()
+    lines = F.array(
+        F.when(sent, F.struct(F.lit("info").alias("level"), F.concat(F.lit("uploaded "), name, F.lit(" to "), F.col("cloudProvider")).alias("line"))),
+        F.when(F.col("attempts") > 1, F.struct(F.lit("warning").alias("level"), F.concat(F.lit("tried again: "), name).alias("line"))),
+        F.when(F.col("outcome") == "fallback", F.struct(F.lit("warning").alias("level"), F.concat(F.lit("kept the original of "), name, F.lit(": "), why).alias("line"))),
+        F.when(F.col("outcome").isin("skipped", "rejected"), F.struct(F.lit("error").alias("level"), F.concat(F.col("outcome"), F.lit(" "), name, F.lit(": "), why).alias("line"))),
+    )
+    return result.select("arrival_idx", F.explode(F.array_compact(lines)).alias("e")).select("arrival_idx", "e.level", "e.line")

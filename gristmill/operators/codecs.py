@@ -1,8 +1,8 @@
 """Image codecs, and the step that applies them.
 
 A codec turns the bytes of an image into the bytes of another format.  The
-registry holds those that need nothing but this package (PNG and TIFF of eight
-bits a channel); others can be registered.  A format that is known but has no
+registry holds those that need nothing but this package (PNG, TIFF, baseline
+JPEG and GIF); others can be registered.  A format that is known but has no
 codec here fails each file with a clear message, and never turns into another.
 """
 
@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from . import gif, jpeg
 
 Codec = Callable[[bytes, float], bytes]
 
@@ -38,34 +39,70 @@ class CodecUnavailable(Exception):
 
 
 def decode_png(data: bytes) -> np.ndarray:
-    """Pixels (height, width, channels) of an eight-bit PNG without interlacing."""
+    """Pixels (height, width, channels) of a PNG, as eight bits a channel (of sixteen the upper)."""
     if not data.startswith(PNG_MARK):
         raise UnsupportedImage("not a PNG")
-    at, raw, head, palette = 8, b"", None, None
+    at, raw, head, palette, clear = 8, [], None, None, b""
     while at + 8 <= len(data):
         size, kind = struct.unpack(">I4s", data[at : at + 8])
         body = data[at + 8 : at + 8 + size]
         if kind == b"IHDR" and size == len(body) == 13:
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"PLTE":
-            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
+            palette = np.frombuffer(body[: size // 3 * 3], np.uint8).reshape(-1, 3)
+        elif kind == b"tRNS":
+            clear = body
         elif kind == b"IDAT":
-            raw += body
+            raw.append(body)
         at += 12 + size
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(head[3]) if head else None
-    if not head or head[2] != 8 or head[6] or not channels:
+    depths = {0: (1, 2, 4, 8, 16), 3: (1, 2, 4, 8)}.get(head[3], (8, 16)) if head else ()
+    if not channels or head[2] not in depths or head[6] > 1 or not head[0] or not head[1] or head[3] == 3 and palette is None:
         raise UnsupportedImage("a PNG of a kind that is not supported")
-    width, height = head[:2]
+    width, height, bits, colour = head[:4]
+    # (first column, first line, column step, line step) of each pass
+    passes = [(0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)] if head[6] else [(0, 0, 1, 1)]
+    out, at = np.zeros((height, width, channels), np.uint8), 0
     try:
-        flat = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(height, 1 + width * channels)
+        flat = np.frombuffer(zlib.decompress(b"".join(raw)), np.uint8)
+        for x, y, dx, dy in passes:
+            w, h = -(-(width - x) // dx), -(-(height - y) // dy)
+            if w > 0 and h > 0:
+                line = -(-w * channels * bits // 8)
+                rows = flat[at : at + h * (1 + line)].reshape(h, 1 + line)
+                out[y::dy, x::dx] = _samples(_unfiltered(rows, max(1, channels * bits // 8)), w, channels, bits, colour == 3)
+                at += h * (1 + line)
     except (zlib.error, ValueError) as e:
         raise UnsupportedImage(f"a damaged PNG: {e}") from None
-    out = np.zeros((height, width * channels), np.uint8)
-    above = np.zeros(width * channels, np.uint8)
-    for y in range(height):
-        above = out[y] = _unfilter(int(flat[y, 0]), flat[y, 1:], above, channels)
-    pixels = out.reshape(height, width, channels)
-    return palette[pixels[:, :, 0]] if head[3] == 3 and palette is not None else pixels
+    if colour != 3:
+        return out
+    if out.max() >= len(palette):
+        raise UnsupportedImage("a damaged PNG: a colour that the palette lacks")
+    if not clear:
+        return palette[out[:, :, 0]]
+    alpha = np.full(256, 255, np.uint8)
+    alpha[: len(clear)] = np.frombuffer(clear[:256], np.uint8)
+    return np.concatenate([palette[out[:, :, 0]], alpha[out]], 2)
+
+
+def _unfiltered(rows: np.ndarray, step: int) -> np.ndarray:
+    out = np.zeros((len(rows), rows.shape[1] - 1), np.uint8)
+    above = np.zeros(rows.shape[1] - 1, np.uint8)
+    for y in range(len(rows)):
+        above = out[y] = _unfilter(int(rows[y, 0]), rows[y, 1:], above, step)
+    return out
+
+
+def _samples(lines: np.ndarray, width: int, channels: int, bits: int, indexed: bool) -> np.ndarray:
+    """Packed lines as samples of eight bits; places in a palette stay as they are."""
+    if bits == 16:
+        return lines[:, ::2].reshape(len(lines), width, channels)
+    if bits < 8:
+        each = np.unpackbits(lines, axis=1).reshape(len(lines), -1, bits)
+        lines = (each @ (1 << np.arange(bits)[::-1])).astype(np.uint8)[:, : width * channels]
+        if not indexed:
+            lines = lines * (255 // ((1 << bits) - 1))
+    return lines.reshape(len(lines), width, channels)
 
 
 def _unfilter(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
@@ -74,7 +111,8 @@ def _unfilter(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np.n
     if kind == 2:
         return line + above
     if kind == 1:
-        return np.cumsum(line.reshape(-1, step), axis=0, dtype=np.uint8).ravel()
+        whole = np.pad(line, (0, -len(line) % step)).reshape(-1, step)
+        return np.cumsum(whole, axis=0, dtype=np.uint8).ravel()[: len(line)]
     if kind not in (3, 4):
         raise UnsupportedImage("a PNG with an unknown filter")
     got = [0] * step + [0] * len(line)
@@ -135,7 +173,7 @@ def encode_tiff(pixels: np.ndarray, quality: float = 80) -> bytes:
 
 
 def decode_tiff(data: bytes) -> np.ndarray:
-    """Pixels of a TIFF in strips, plain or deflated, of eight bits a channel."""
+    """Pixels of a TIFF in strips, plain or deflated, of one, eight or sixteen bits a channel."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if not order:
         raise UnsupportedImage("not a TIFF")
@@ -149,11 +187,19 @@ def decode_tiff(data: bytes) -> np.ndarray:
             if size * count > 4:
                 place = struct.unpack(order + "I", data[place : place + 4])[0]
             tags[tag] = struct.unpack(f"{order}{count}{code}", data[place : place + size * count])
-        if set(tags.get(_BITS, (1,))) != {8} or tags.get(_COMPRESSION, (1,))[0] not in (1, 8, 32946):
+        bits = set(tags.get(_BITS, (1,)))
+        if len(bits) != 1 or not bits <= {1, 8, 16} or tags.get(_COMPRESSION, (1,))[0] not in (1, 8, 32946):
             raise UnsupportedImage("a TIFF of a kind that is not supported")
         strips = [data[a : a + n] for a, n in zip(tags[_OFFSETS], tags[_COUNTS])]
         raw = b"".join(strips if tags.get(_COMPRESSION, (1,))[0] == 1 else map(zlib.decompress, strips))
-        return np.frombuffer(raw, np.uint8).reshape(tags[_HEIGHT][0], tags[_WIDTH][0], tags.get(_CHANNELS, (1,))[0])
+        height, width, channels = tags[_HEIGHT][0], tags[_WIDTH][0], tags.get(_CHANNELS, (1,))[0]
+        if bits == {1}:
+            lines = np.frombuffer(raw, np.uint8).reshape(height, -1)
+            pixels = np.unpackbits(lines, axis=1)[:, : width * channels] * np.uint8(255)
+        else:
+            pixels = np.frombuffer(raw, order + "u2") >> 8 if bits == {16} else np.frombuffer(raw, np.uint8)
+        pixels = pixels.astype(np.uint8).reshape(height, width, channels)
+        return 255 - pixels if tags.get(_COLOUR, (1,))[0] == 0 else pixels
     except (struct.error, KeyError, ValueError, zlib.error) as e:
         raise UnsupportedImage(f"a damaged TIFF: {e}") from None
 
@@ -164,18 +210,27 @@ def decode(data: bytes) -> np.ndarray:
         return decode_png(data)
     if data[:4] in (b"II*\0", b"MM\0*"):
         return decode_tiff(data)
+    try:
+        if data[:2] == b"\xff\xd8":
+            return jpeg.decode(data)
+        if data[:4] == b"GIF8":
+            return gif.decode(data)
+    except (jpeg.Damaged, gif.Damaged) as e:
+        raise UnsupportedImage(str(e)) from None
     raise UnsupportedImage("input buffer contains an image format that is not supported")
 
 
-def _to_png(data: bytes, quality: float) -> bytes:
-    return encode_png(decode(data), quality)
+def _codec(encode: Callable[[np.ndarray, float], bytes]) -> Codec:
+    def convert(data: bytes, quality: float) -> bytes:
+        try:
+            return encode(decode(data), quality)
+        except (jpeg.Damaged, gif.Damaged) as e:
+            raise UnsupportedImage(str(e)) from None
 
+    return convert
 
-def _to_tiff(data: bytes, quality: float) -> bytes:
-    return encode_tiff(decode(data), quality)
 
-
-BUILT_IN: dict[str, Codec] = {"png": _to_png, "tiff": _to_tiff}
+BUILT_IN: dict[str, Codec] = {"png": _codec(encode_png), "tiff": _codec(encode_tiff), "jpeg": _codec(jpeg.encode), "jpg": _codec(jpeg.encode), "gif": _codec(gif.encode)}
 
 
 def identity(data: bytes, quality: float) -> bytes:
@@ -192,14 +247,15 @@ def failing(message: str) -> Codec:
     return fail
 
 
-def check_formats(formats: list[str], codecs: dict[str, Codec]) -> None:
+def check_formats(formats: list[str], codecs: Mapping[str, Codec]) -> None:
     """Refuse formats that nobody knows."""
     unknown = sorted({f for f in formats if f.lower() not in FORMATS and f.lower() not in codecs})
     if unknown:
         raise UnknownFormat(f"unknown output formats: {', '.join(unknown)}")
 
 
-def _convert_one(data: bytes, fmt: str, quality: float, codecs: dict[str, Codec]) -> tuple[bytes | None, str | None]:
+def convert_one(data: bytes, fmt: str, quality: float, codecs: Mapping[str, Codec]) -> tuple[bytes | None, str | None]:
+    """The converted bytes, or what is wrong; errors that a codec does not declare go on."""
     codec = codecs.get(fmt.lower())
     try:
         if codec is None:
@@ -209,20 +265,21 @@ def _convert_one(data: bytes, fmt: str, quality: float, codecs: dict[str, Codec]
         return None, str(e)
 
 
-def convert_content(files: DataFrame, codecs: dict[str, Codec] | None = None, content_col: str = "content", format_col: str = "format", quality_col: str = "quality") -> DataFrame:
+def convert_content(files: DataFrame, codecs: Mapping[str, Codec] | None = None, content_col: str = "content", format_col: str = "format", quality_col: str = "quality") -> DataFrame:
     """Add ``converted`` and ``convert_error``; only one of them is set.
 
-    Errors that a codec does not declare fail the task, and so the run.
+    Only the bytes to convert cross to Python, once.  Errors that a codec does
+    not declare fail the task, and so the run.
     """
     codecs = BUILT_IN if codecs is None else codecs
 
-    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<converted:binary,convert_error:string>")
+    def converted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.struct([("converted", pa.binary()), ("convert_error", pa.string())])
         for batch in batches:
-            row = batch.column(0)
-            for i in range(batch.num_rows):  # an image at a time bounds the memory
-                out, error = _convert_one(batch.column(1)[i].as_py() or b"", batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), codecs)
-                yield pa.RecordBatch.from_arrays([row.slice(i, 1), pa.array([out], pa.binary()), pa.array([error], pa.string())], ["row", "converted", "convert_error"])
-
-    rows = files.select(F.struct("*").alias("row"), content_col, format_col, F.col(quality_col).cast("double"))
-    schema = T.StructType([rows.schema["row"], T.StructField("converted", T.BinaryType()), T.StructField("convert_error", T.StringType())])
-    return rows.mapInArrow(of_batches, schema).select("row.*", "converted", "convert_error")
+            found = (convert_one(r["c"] or b"", r["f"], r["q"], codecs) for r in (row.as_py() for row in batch))
+            yield pa.array([{"converted": out, "convert_error": error} for out, error in found], kind)
+
+    need = F.struct(F.col(content_col).alias("c"), F.col(format_col).alias("f"), F.col(quality_col).cast("double").alias("q"))
+    done = files.withColumn("_done", converted.asNondeterministic()(need))
+    return done.select(*files.columns, "_done.converted", "_done.convert_error")

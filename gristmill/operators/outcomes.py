@@ -1,7 +1,8 @@
 """What comes of each file: the result columns and the record of errors.
 
-Rows carry what happened to them: ``route``; ``converted`` or
-``convert_error``; ``store_error`` for what was to be stored; ``backup_error``
+Rows carry what happened to them: ``route``; ``n_content`` and ``n_converted``,
+the sizes of the original and of what it became; ``converted`` (bytes of files
+that stay in memory) or ``convert_error``; ``store_error`` for what was to be stored; ``backup_error``
 where a backup was stored instead; the place in ``stored_path``,
 ``stored_name`` and the ``cloud`` struct.  ``outcome`` names the end:
 
@@ -9,6 +10,7 @@ where a backup was stored instead; the place in ``stored_path``,
 ``converted``   converted, and stored where it was to go
 ``fallback``    conversion or storing failed, the original took its place
 ``skipped``     nothing could be kept
+``rejected``    a file of its request is above the limit
 ``unchanged``   conversion alone: the file stays as it was
 """
 
@@ -17,7 +19,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metrics import byte_count
 from ..functions.naming import output_mimetype
 from ..schema import CLOUD, ERRORS, METADATA
 
@@ -40,7 +41,7 @@ def _first(cases: list[tuple[Column, Column]], otherwise: Column) -> Column:
 
 def has_backup(safe_file: bool) -> Column:
     """Whether there are original bytes to fall back to."""
-    return F.lit(safe_file) & (F.coalesce(byte_count(F.col("content")), F.lit(0)) > 0)
+    return F.lit(safe_file) & (F.coalesce("n_content", F.lit(0)) > 0)
 
 
 def ingest_outcome(files: DataFrame, safe_file: bool) -> DataFrame:
@@ -49,11 +50,11 @@ def ingest_outcome(files: DataFrame, safe_file: bool) -> DataFrame:
     convert, stores = how == "convert", to != "memory"
     bad, store_bad, backup_bad = F.col("convert_error").isNotNull(), F.col("store_error").isNotNull(), F.col("backup_error").isNotNull()
     fell = convert & bad & has_backup(safe_file) & ~backup_bad
-    skipped = F.col("route") == "skipped"
+    skipped, rejected = F.col("route") == "skipped", F.col("route") == "rejected"
     lost = convert & bad & ~fell
     unstored = stores & store_bad & ~(convert & bad)
     outcome = _first(
-        [(skipped | lost | unstored, F.lit("skipped")), (fell, F.lit("fallback")), (convert, F.lit("converted"))],
+        [(rejected, F.lit("rejected")), (skipped | lost | unstored, F.lit("skipped")), (fell, F.lit("fallback")), (convert, F.lit("converted"))],
         F.lit("stored"),
     )
     error, where = F.col("convert_error"), F.col("store_error")
@@ -62,7 +63,7 @@ def ingest_outcome(files: DataFrame, safe_file: bool) -> DataFrame:
     none = F.lit(None).cast(METADATA)
     record = _first(
         [
-            (skipped, metadata(SKIPPED, message=F.col("convert_error"))),
+            (skipped | rejected, metadata(SKIPPED, message=F.col("convert_error"))),
             (fell & (to == "disk"), metadata(FALLBACK, pipeline=error)),
             (fell, metadata(FALLBACK, conversion=error)),
             (tried & (to == "disk"), metadata(SKIPPED, pipeline=error, fallback=F.col("backup_error"), message=both)),
@@ -74,10 +75,10 @@ def ingest_outcome(files: DataFrame, safe_file: bool) -> DataFrame:
         ],
         none,
     )
-    original, now = byte_count(F.col("content")), byte_count(F.col("converted"))
+    original, now = F.col("n_content"), F.col("n_converted")
     ok = outcome == "converted"
     kept = outcome.isin("stored", "fallback")
-    there = outcome != "skipped"
+    there = ~outcome.isin("skipped", "rejected")
     memory = to == "memory"
     null_long = F.lit(None).cast("long")
     return files.withColumns(
@@ -91,7 +92,7 @@ def ingest_outcome(files: DataFrame, safe_file: bool) -> DataFrame:
             "result_path": F.when(there & (to == "disk"), F.col("stored_path")),
             "filename": F.when(there & (to == "disk"), F.col("stored_name")),
             "cloud": F.when(there & (to == "cloud"), F.col("cloud")).otherwise(F.lit(None).cast(CLOUD)),
-            "error": F.when(skipped, F.col("convert_error")),
+            "error": F.when(skipped | rejected, F.col("convert_error")),
             "_metadata": record,
         }
     )
@@ -109,7 +110,7 @@ def convert_outcome(files: DataFrame, safe_file: bool) -> DataFrame:
         [(fell & bad, metadata(FALLBACK, conversion=F.col("convert_error"))), (fell, metadata(FALLBACK, diskWrite=F.col("store_error")))],
         F.lit(None).cast(METADATA),
     )
-    original, now = byte_count(F.col("content")), byte_count(F.col("converted"))
+    original, now = F.col("n_content"), F.col("n_converted")
     sized = ok | fell
     size = F.when(ok, now).otherwise(original)
     return files.withColumns(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,14 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import logs
 from ..config import ConvertOptions, IngestOptions
 from ..functions import matching, metrics, naming, urls
 from ..operators import codecs, grouping, limits, outcomes
 from ..shipping import ship
+from ..sinks.adapters import write_whole
+from ..sinks.store import discard
+from ..sources.files import from_buffers, read_landing
 from ..storage import as_folder, scratch
 from ..streaming.landing import ingest_stream, stream_landing
 from . import oracles
-from .ingest import convert, ingest, plan_ingest
+from .ingest import convert, ingest, ingest_to, plan_ingest
 from .views import OPTIONS, file_records
 
 EVENT_KEYS = ["click", "pur*", "*i*", "view"]
@@ -135,6 +139,11 @@ def outcome_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
             "stored_path": none,
             "stored_name": none,
             "cloud": F.lit(None).cast(outcomes.CLOUD),
+            "n_content": metrics.byte_count(F.col("content")),
+        }
+    ).withColumns(
+        {
+            "n_converted": metrics.byte_count(F.col("converted")),
         }
     )
     ended = outcomes.ingest_outcome(played, OPTIONS.safe_file)
@@ -158,24 +167,31 @@ def convert_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transcode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text as a grey PNG, converted to TIFF; checksums of the pixels of both."""
+    """Every text as a grey PNG, converted to TIFF, GIF and JPEG; digests of the pixels read back, and whether those of the JPEG are close."""
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                raw = np.frombuffer(batch.column(1)[i].as_py() or b" ", np.uint8)
-                pixels = np.pad(raw, (0, -len(raw) % 64), constant_values=32).reshape(-1, 64, 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([codecs.encode_png(pixels)]), pa.array(["tiff"]), pa.array([80.0])], ["doc_id", "content", "format", "quality"])
+            images = []
+            for text in batch.column(1).to_pylist():
+                raw = np.frombuffer(text or b" ", np.uint8)
+                images.append(codecs.encode_png(np.pad(raw, (0, -len(raw) % 64), constant_values=32).reshape(-1, 64, 1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(images, pa.binary())], ["doc_id", "content"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = [[zlib.crc32(codecs.decode(x.as_py()).tobytes()) for x in batch.column(c)] for c in (1, 2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, sums)], ["doc_id", "png_crc32", "tiff_crc32"])
+            digests: list[list] = [[], [], [], []]
+            for png, tiff, gif, jpeg in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                pixels = codecs.decode(png)
+                for out, image in zip(digests, (png, tiff, gif)):
+                    out.append(hashlib.md5(codecs.decode(image)[:, :, 0].tobytes()).hexdigest())
+                digests[3].append(bool(np.abs(codecs.decode(jpeg).astype(int) - pixels).max() <= 4))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, digests)], ["doc_id", "png", "tiff", "gif", "jpeg_is_close"])
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
-    images = docs.mapInArrow(draw, "doc_id long, content binary, format string, quality double")
-    done = codecs.convert_content(images).select("doc_id", "content", "converted")
-    return done.mapInArrow(read, "doc_id long, png_crc32 long, tiff_crc32 long")
+    images = docs.mapInArrow(drawn, "doc_id long, content binary").withColumn("quality", F.lit(100.0))
+    for kind in ("tiff", "gif", "jpeg"):
+        images = codecs.convert_content(images.withColumn("format", F.lit(kind))).withColumnRenamed("converted", kind).drop("convert_error", "format")
+    return images.select("doc_id", "content", "tiff", "gif", "jpeg").mapInArrow(read, "doc_id long, png string, tiff string, gif string, jpeg_is_close boolean")
 
 
 def _run_once(result: DataFrame, spark: SparkSession, name: str) -> DataFrame:
@@ -204,6 +220,107 @@ def cloud_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("arrival_idx", "outcome", "match_key", "cloudProvider", "cloudBucket", "cloudSize", "cloudETag")
 
 
+def _marked(data: bytes, quality: float) -> bytes:
+    """A codec whose output SQL can tell: a mark and the input; what begins with E is refused."""
+    if data[:1] == b"E":
+        raise codecs.UnsupportedImage("begins with E")
+    return b"NEW:" + data
+
+
+def _stored_bytes(spark: SparkSession, root: str) -> DataFrame:
+    back = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{root}")
+    return back.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.regexp_replace("path", "^file:/+", "/").alias("at"), F.md5("content").alias("disk_md5"))
+
+
+def _mixed_run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """Files converted to memory, to disk and to a store whose first upload of each key fails, once each."""
+    root = as_folder(scratch(spark, "mixed"))
+    cloud = {"cloud_storage": True, "cloud_provider": "emulator", "cloud_config": {"root": f"{root}/objects", "bucket": "corpus", "fail_first": 1}}
+    fields = {"src0": {"format": "png"}, "src1*": cloud | {"format": "png"}, "s*2": {"output": "disk", "format": "tiff"}, "*": {"keep_original": True}}
+    options = IngestOptions(fields=fields, safe_file=True)
+    return ingest_to(_files(spark, sf_dir), options, scratch(spark, "mixed-result"), codecs=dict.fromkeys(("png", "tiff"), _marked), root=f"{root}/disk"), root
+
+
+def convert_and_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every end of a run that converts and stores, with the bytes that stand there."""
+    done, root = _mixed_run(spark, sf_dir)
+    done = done.join(_stored_bytes(spark, f"{root}/disk"), "filename", "left")
+    sizes = [F.col(c).alias(n) for c, n in (("originalSize", "original_size"), ("convertedSize", "converted_size"), ("cloudSize", "cloud_size"), ("cloudETag", "cloud_md5"), ("cloudContentType", "cloud_type"))]
+    fell = F.coalesce("_metadata.isBackupFallback", F.lit(False)).alias("fell")
+    return done.select("arrival_idx", "route", "outcome", "mimetype", "size", *sizes, "attempts", "disk_md5", F.md5("buffer").alias("memory_md5"), fell)
+
+
+def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines of each kind the same run gives for the log."""
+    lines = logs.events(_mixed_run(spark, sf_dir)[0])
+    return lines.groupBy("level", F.substring_index("line", " ", 1).alias("kind")).agg(F.count("*").alias("n"))
+
+
+def ingest_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of three files; those with a file above the limit are rejected whole."""
+    files = _files(spark, sf_dir).withColumn("request_id", F.floor(F.col("arrival_idx") / 3).cast("string"))
+    done = ingest(files, IngestOptions(fields={"*": {"keep_original": True}}, limit=8000))
+    return done.select("arrival_idx", "request_id", "outcome", "size", F.col("buffer").isNotNull().alias("kept"), F.col("error").isNotNull().alias("told"))
+
+
+def disk_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversion without ingest whose output goes to folders below a root."""
+    root = as_folder(scratch(spark, "converted"))
+    fields = {"src1": {"output": "disk", "output_dir": "/one/../two", "format": "png"}, "src2": {"output": "disk", "format": "png"}}
+    result = convert(_files(spark, sf_dir), ConvertOptions(fields=fields, safe_file=True), codecs=dict.fromkeys(("png", "webp"), _marked), root=root)
+    done = _run_once(result, spark, "converted-result")
+    folder = F.regexp_extract(F.expr(f"substring(path, {len(root) + 2})"), "^(.*)/[^/]*$", 1).alias("folder")
+    there = _stored_bytes(spark, root).select(F.col("at").alias("path"), "disk_md5")
+    return done.join(there, "path", "left").select("arrival_idx", "outcome", folder, "mimetype", "size", F.col("convertedSize").alias("converted_size"), "disk_md5", F.md5("buffer").alias("memory_md5"))
+
+
+def unreadable_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the built-in codecs say to prose that calls itself an image: the file fails, the run does not."""
+    done = ingest(_files(spark, sf_dir), IngestOptions(fields={"*": {"format": "jpeg"}}, safe_file=True))
+    return done.select("arrival_idx", "outcome", "mimetype", F.col("_metadata.errors.conversion").alias("conversion"), F.col("_metadata.errors.message").alias("message"))
+
+
+def discard_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files stored on disk and with a provider, of which those of even ids are deleted again."""
+    root = as_folder(scratch(spark, "discarded"))
+    cloud = {"cloud_storage": True, "cloud_provider": "emulator", "cloud_config": {"root": root, "bucket": "objects"}, "keep_original": True}
+    options = IngestOptions(fields={"src1*": cloud, "*": {"output": "disk", "keep_original": True}})
+    done = ingest_to(_files(spark, sf_dir), options, scratch(spark, "kept"), root=f"{root}/disk")
+    gone = discard(done.filter("arrival_idx % 2 = 0"), options.fields)
+    gone.write.parquet(scratch(spark, "gone"))  # deleting happens as this runs, once
+    there = _stored_bytes(spark, root).select(F.col("filename").alias("name"))
+    named = done.select("arrival_idx", F.coalesce("filename", "cloudPublicId").alias("name"))
+    return named.join(there.withColumn("there", F.lit(True)), "name", "left").select("arrival_idx", F.coalesce("there", F.lit(False)).alias("there"))
+
+
+def landing_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file of a landing folder, every seventh without bytes, read as records."""
+    root = as_folder(scratch(spark, "landing-batch"))
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder, name, content in zip(*(c.to_pylist() for c in batch.columns)):
+                write_whole(folder, name, content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    files = _files(spark, sf_dir)
+    content = F.when(F.col("arrival_idx") % 7 == 0, F.lit(b"").cast("binary")).otherwise(F.col("content"))
+    rows = files.select(F.concat_ws("/", F.lit(root), F.concat(F.lit("r "), "request_id"), "fieldname").alias("folder"), F.concat("arrival_idx", F.lit(".TXT")).alias("name"), content.alias("content"))
+    rows.mapInArrow(put, "n long").write.parquet(scratch(spark, "landed"))
+    found = read_landing(spark, f"file://{root}")
+    return found.select("request_id", "fieldname", "originalname", "mimetype", "size", F.md5("content").alias("md5"))
+
+
+def buffer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in memory, as a list and as a map by field, read as records."""
+    files = _files(spark, sf_dir)
+    columns = ["arrival_idx", "originalname", "mimetype", "content"]
+    lists = files.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("arrival_idx", "fieldname", "originalname", "mimetype", "content"))).alias("files"))
+    maps = grouping.as_map(files, columns)
+    picked = ["request_id", "arrival_idx", "fieldname", "originalname", "mimetype", "size"]
+    return from_buffers(lists).select(F.lit("list").alias("form"), *picked).unionByName(from_buffers(maps).select(F.lit("map").alias("form"), *picked))
+
+
 def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items land as files and a stream ingests them."""
     root = as_folder(scratch(spark, "landing"))
@@ -241,6 +358,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         transcode,
         sink_commit,
         cloud_upload,
+        convert_and_store,
+        log_events,
+        ingest_limit,
+        disk_conversion,
+        unreadable_images,
+        discard_stored,
+        landing_read,
+        buffer_records,
         streaming_ingest,
     )
 }

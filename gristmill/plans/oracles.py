@@ -23,6 +23,15 @@ routed AS (
   FROM matched WHERE match_key IS NOT NULL)"""
 _SLUG = "regexp_replace(regexp_replace(lower(lang || ' Doc #' || doc_id), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 _BASE = "regexp_extract(url, '([^/]*)/*$', 1)"
+_MIXED = f"""{_FILES},
+placed AS (
+  SELECT *, CASE WHEN fieldname LIKE 'src1%' THEN 'cloud' WHEN fieldname LIKE 's%2' THEN 'disk' ELSE 'memory' END AS place,
+    mimetype LIKE 'image%' AND (fieldname = 'src0' OR fieldname LIKE 'src1%' OR fieldname LIKE 's%2') AS converts
+  FROM files),
+ended AS (
+  SELECT *, converts AND mimetype = 'image/bmp' AS skipped, converts AND mimetype <> 'image/bmp' AND text LIKE 'E%' AS fell,
+    converts AND mimetype <> 'image/bmp' AND text NOT LIKE 'E%' AS ok
+  FROM placed)"""
 
 SQL: dict[str, str] = {
     "route_summary": f"""WITH {_ROUTED}
@@ -111,6 +120,56 @@ SELECT arrival_idx, 'stored' AS outcome, CASE WHEN fieldname LIKE 'src1%' THEN '
   CASE WHEN fieldname LIKE 'src1%' THEN 'emulator' END AS "cloudProvider", CASE WHEN fieldname LIKE 'src1%' THEN 'corpus' END AS "cloudBucket",
   CASE WHEN fieldname LIKE 'src1%' THEN size END AS "cloudSize", CASE WHEN fieldname LIKE 'src1%' THEN md5(text) END AS "cloudETag"
 FROM files""",
+    "transcode": """WITH p AS (SELECT doc_id, md5(text || repeat(' ', (64 - octet_length(encode(text)) % 64) % 64)) AS m FROM documents)
+SELECT doc_id, m AS png, m AS tiff, m AS gif, true AS jpeg_is_close FROM p""",
+    "convert_and_store": f"""WITH {_MIXED}
+SELECT arrival_idx, CASE WHEN skipped THEN 'skipped' ELSE place || CASE WHEN converts THEN '_convert' ELSE '_passthrough' END END AS route,
+  CASE WHEN skipped THEN 'skipped' WHEN fell THEN 'fallback' WHEN ok THEN 'converted' ELSE 'stored' END AS outcome,
+  CASE WHEN NOT ok THEN mimetype WHEN place = 'disk' THEN 'image/tiff' ELSE 'image/png' END AS mimetype,
+  CASE WHEN skipped OR fell AND place = 'cloud' OR ok AND place <> 'memory' THEN NULL WHEN ok THEN size + 4 ELSE size END AS size,
+  CASE WHEN ok OR fell AND place <> 'cloud' THEN size END AS original_size,
+  CASE WHEN ok AND place <> 'memory' THEN size + 4 END AS converted_size,
+  CASE WHEN place = 'cloud' AND NOT skipped THEN CASE WHEN ok THEN size + 4 ELSE size END END AS cloud_size,
+  CASE WHEN place = 'cloud' AND NOT skipped THEN md5(CASE WHEN ok THEN 'NEW:' || text ELSE text END) END AS cloud_md5,
+  CASE WHEN place = 'cloud' AND NOT skipped THEN CASE WHEN ok THEN 'image/png' ELSE mimetype END END AS cloud_type,
+  CASE WHEN skipped THEN NULL WHEN place = 'cloud' THEN 2 WHEN place = 'disk' THEN 1 END AS attempts,
+  CASE WHEN place = 'disk' AND NOT skipped THEN md5(CASE WHEN ok THEN 'NEW:' || text ELSE text END) END AS disk_md5,
+  CASE WHEN place = 'memory' AND NOT skipped THEN md5(CASE WHEN ok THEN 'NEW:' || text ELSE text END) END AS memory_md5,
+  fell
+FROM ended""",
+    "log_events": f"""WITH {_MIXED},
+lines AS (
+  SELECT 'info' AS level, 'uploaded' AS kind FROM ended WHERE place = 'cloud' AND NOT skipped
+  UNION ALL SELECT 'warning', 'tried' FROM ended WHERE place = 'cloud' AND NOT skipped
+  UNION ALL SELECT 'warning', 'kept' FROM ended WHERE fell
+  UNION ALL SELECT 'error', 'skipped' FROM ended WHERE skipped)
+SELECT level, kind, count(*) AS n FROM lines GROUP BY ALL""",
+    "ingest_limit": f"""WITH {_FILES},
+r AS (SELECT arrival_idx, CAST(arrival_idx // 3 AS VARCHAR) AS request_id, size, max(size) OVER (PARTITION BY arrival_idx // 3) > 8000 AS bad FROM files)
+SELECT arrival_idx, request_id, CASE WHEN bad THEN 'rejected' ELSE 'stored' END AS outcome, CASE WHEN NOT bad THEN size END AS size, NOT bad AS kept, bad AS told FROM r""",
+    "disk_conversion": f"""WITH {_FILES},
+e AS (
+  SELECT *, fieldname IN ('src1', 'src2') AS disk, mimetype LIKE 'image%' AND text LIKE 'E%' AS fell, mimetype LIKE 'image%' AND text NOT LIKE 'E%' AS ok
+  FROM files)
+SELECT arrival_idx, CASE WHEN ok THEN 'converted' WHEN fell THEN 'fallback' ELSE 'unchanged' END AS outcome,
+  CASE WHEN disk AND (ok OR fell) THEN CASE fieldname WHEN 'src1' THEN 'two' ELSE 'uploads' END END AS folder,
+  CASE WHEN NOT ok THEN mimetype WHEN disk THEN 'image/png' ELSE 'image/webp' END AS mimetype,
+  CASE WHEN ok THEN size + 4 ELSE size END AS size, CASE WHEN ok THEN size + 4 WHEN fell THEN size END AS converted_size,
+  CASE WHEN disk AND (ok OR fell) THEN md5(CASE WHEN ok THEN 'NEW:' || text ELSE text END) END AS disk_md5,
+  CASE WHEN NOT disk OR NOT (ok OR fell) THEN md5(CASE WHEN ok THEN 'NEW:' || text ELSE text END) END AS memory_md5
+FROM e""",
+    "unreadable_images": f"""WITH {_FILES}
+SELECT arrival_idx, CASE WHEN mimetype = 'image/bmp' THEN 'skipped' WHEN mimetype LIKE 'image%' THEN 'fallback' ELSE 'stored' END AS outcome, mimetype,
+  CASE WHEN mimetype LIKE 'image%' AND mimetype <> 'image/bmp' THEN 'input buffer contains an image format that is not supported' END AS conversion,
+  CASE WHEN mimetype = 'image/bmp' THEN 'unsupported image format image/bmp' END AS message
+FROM files""",
+    "discard_stored": "SELECT doc_id AS arrival_idx, doc_id % 2 <> 0 AS there FROM documents",
+    "landing_read": f"""WITH {_FILES}
+SELECT 'r ' || request_id AS request_id, fieldname, arrival_idx || '.TXT' AS originalname, 'text/plain' AS mimetype,
+  CASE WHEN arrival_idx % 7 = 0 THEN 0 ELSE size END AS size, md5(CASE WHEN arrival_idx % 7 = 0 THEN '' ELSE text END) AS md5
+FROM files""",
+    "buffer_records": f"""WITH {_FILES}
+SELECT form, request_id, arrival_idx, fieldname, originalname, mimetype, size FROM files CROSS JOIN (VALUES ('list'), ('map')) f(form)""",
     "streaming_ingest": """SELECT 'req' AS request_id, 'field' || item_id % 3 AS fieldname, 'stored' AS outcome, 'text/plain' AS mimetype,
   count(*) AS n_files, CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes
 FROM benchmark WHERE item_id % 3 < 2 GROUP BY ALL""",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,9 +65,24 @@ def from_landing(found: DataFrame) -> DataFrame:
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
     """All files below a landing folder; the bytes are read only if they are used.
 
-    The source leaves out files without bytes.
+    The source lists files without bytes but leaves them out of its rows; they
+    are put back from the listing.
     """
-    return from_landing(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return from_landing(found.unionByName(_empty_files(spark, found)))
+
+
+def _empty_files(spark: SparkSession, found: DataFrame) -> DataFrame:
+    """Rows for the listed files that have no bytes: of these alone the driver learns the times."""
+    listed = [(re.sub(r"^file:/+", "file:/", unquote(x)),) for x in found.inputFiles()]
+    empty = spark.createDataFrame(listed, "path string").join(found.select("path"), "path", "left_anti").collect()
+    rows = []
+    for (path,) in empty:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        status = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+        rows.append((path, status.getModificationTime()))
+    times = spark.createDataFrame(rows, "path string, at long")
+    return times.select("path", F.timestamp_millis("at").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").cast("binary").alias("content"))
 
 
 def from_buffers(rows: DataFrame, files_col: str = "files", request_col: str = "request_id") -> DataFrame:

@@ -8,10 +8,22 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one where it is unset."""
+    """The folder that ``spark.checkpoint.dir`` names.
+
+    Where it is unset, a temporary one, if all runs in one process; a cluster
+    must name a folder.
+    """
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not is_local(spark):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="gristmill-")
         spark.conf.set("spark.checkpoint.dir", there)
     return there.rstrip("/")

@@ -1,13 +1,14 @@
 """One case for each way a file can end."""
 
 import os
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from gristmill.config import ConvertOptions, IngestOptions
 from gristmill.operators import codecs, grouping, limits
-from gristmill.plans.ingest import convert, ingest
+from gristmill.plans.ingest import convert, ingest, ingest_to
 from gristmill.schema import FILE
 from gristmill.sinks.adapters import EmulatorAdapter
 
@@ -193,7 +194,9 @@ def test_multi_field(spark):
 
 def test_limit_rejects_the_request(spark):
     df = files(spark, PNG, ("image", "big.jpg", "image/jpeg", b"x" * 26)).unionByName(files(spark, PNG).withColumn("request_id", F.lit("other")))
-    assert [r.request_id for r in ingest(df, IngestOptions(fields={"image": {}}, limit=10), codecs=GOOD).collect()] == ["other"]
+    rows = ingest(df, IngestOptions(fields={"image": {}}, limit=10), codecs=GOOD).collect()
+    assert sorted((r.request_id, r.outcome, r.buffer is None) for r in rows) == [("other", "converted", False), ("r", "rejected", True), ("r", "rejected", True)]
+    assert all("26 bytes" in r.error and r["_metadata"].isSkipped for r in rows if r.request_id == "r")
     assert [tuple(r) for r in limits.rejected_requests(df, 10).collect()] == [("r", 26)]
 
 
@@ -203,7 +206,39 @@ def test_limit_ignores_files_that_are_not_allowed(spark):
 
 
 def test_no_rows(spark):
-    assert ingest(files(spark), IngestOptions(fields={"*": {"output": "disk"}}), codecs=GOOD).count() == 0
+    assert ingest(files(spark), IngestOptions(fields={"*": {"output": "disk"}}), codecs=GOOD, root="/tmp").count() == 0
+
+
+def test_disk_needs_a_root(spark):
+    with pytest.raises(ValueError, match="root"):
+        ingest(files(spark, PNG), IngestOptions(fields={"*": {"output": "disk"}}), codecs=GOOD)
+
+
+def test_retry_sends_what_was_converted(spark, tmp_path):
+    """The second upload of a converted file holds the converted bytes, under their name and type."""
+    cloud = {"cloud_storage": True, "cloud_provider": "emulator", "cloud_config": {"root": str(tmp_path), "fail_first": 1}, "format": "png"}
+    row = ingest(files(spark, PNG), IngestOptions(fields={"image": cloud}, safe_file=True), codecs={"png": lambda data, quality: b"NEW:" + data}).first()
+    stored = (tmp_path / "bucket" / row.cloudPublicId).read_bytes()
+    assert stored.startswith(b"NEW:") and row.outcome == "converted" and row.attempts == 2
+    assert (row.cloudSize, row.convertedSize, row.cloudContentType) == (len(stored), len(stored), "image/png") and row.cloudPublicId.endswith(".png")
+
+
+def test_an_image_is_converted_once(spark, tmp_path):
+    """One scan of the files and one codec call an image, whatever the routes are."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def counted(data, quality):
+        (calls / uuid.uuid4().hex).write_bytes(data)
+        return data
+
+    spark.createDataFrame([(str(i), i, f"f{i % 3}", "a.png", "binary", "image/png", None, bytes([i]) * 9, 9) for i in range(12)], FILE).write.parquet(f"{tmp_path}/files")
+    cloud = {"cloud_storage": True, "cloud_provider": "emulator", "cloud_config": {"root": str(tmp_path / "o")}}
+    options = IngestOptions(fields={"f0": {"format": "png"}, "f1": {"output": "disk", "format": "png"}, "f2": cloud | {"format": "png"}})
+    result = ingest_to(spark.read.parquet(f"{tmp_path}/files"), options, f"{tmp_path}/out", codecs={"png": counted}, root=str(tmp_path / "d"))
+    assert result.count() == 12 and len(list(calls.iterdir())) == 12
+    plan = ingest(spark.read.parquet(f"{tmp_path}/files"), options, codecs={"png": counted}, root=str(tmp_path / "d"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("ArrowEvalPython") == 1
 
 
 # conversion alone

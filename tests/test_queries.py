@@ -14,12 +14,6 @@ def test_sql(same_as_sql, name):
     same_as_sql(catalog.QUERIES[name], catalog.ORACLE_SQL[name])
 
 
-def test_pixels_survive_transcoding(spark):
-    rows = catalog.transcode(spark, SMALL).collect()
-    assert len(rows) == spark.read.parquet(f"{SMALL}/documents.parquet").count()
-    assert all(r.png_crc32 == r.tiff_crc32 for r in rows)
-
-
 def test_entry_works_without_the_optional_parts(spark, monkeypatch):
     real = builtins.__import__
 
