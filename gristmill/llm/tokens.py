@@ -22,7 +22,6 @@ letters before it makes them small.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,7 +86,7 @@ class Encoder:
     def _rule(self, spec: dict) -> str:
         before, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
-        plain = all(x.isascii() and x.split() == [x] for x in self.added)
+        plain = all(not x.get("normalized") and x["content"].split() == [x["content"]] for x in spec.get("added_tokens", []))
         if not self.small or not plain or (spec.get("post_processor") or {}).get("type", "ByteLevel") != "ByteLevel":
             return "whole"
         if norm is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space"):
@@ -99,10 +98,13 @@ class Encoder:
             return "drop"
         return "whole"
 
-    def _odd(self) -> str:
-        """An expression for the texts that are encoded whole."""
-        added = "".join(f"|(?i:{re.escape(x)})" for x in self.added)
-        return (_WIDE if self.kind == "lead" else r"\x01|[A-Z]\p{M}") + added
+    def _odd(self, texts: pa.Array) -> np.ndarray:
+        """Which texts are encoded whole."""
+        found = pc.match_substring_regex(texts, _WIDE if self.kind == "lead" else r"\x01|[A-Z]\p{M}")
+        for x in self.added:
+            # Where words are made small before they are encoded, a mark in capitals would become one.
+            found = pc.or_(found, pc.match_substring(texts, x, ignore_case=self.kind == "drop"))
+        return found.to_numpy(zero_copy_only=False)
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -184,7 +186,7 @@ class Encoder:
         if self.kind == "whole":
             yield self._whole(texts.to_pylist())
             return
-        odd = pc.match_substring_regex(texts, self._odd()).to_numpy(zero_copy_only=False)
+        odd = self._odd(texts)
         cuts = np.r_[0, np.flatnonzero(np.diff(odd)) + 1, len(odd)] if len(odd) else [0]
         for a, b in zip(cuts, cuts[1:]):
             part = texts.slice(a, b - a)
