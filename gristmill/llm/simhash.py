@@ -221,6 +221,13 @@ def _subtract(free: list[tuple[int, int]], segment: list[tuple[int, int]]) -> li
     return out
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether distinct edges from ``a`` down to ``b`` make stars: one edge for each ``a``, and no ``b`` has an edge down."""
+    ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("down"))))
+    ends = edges.select(ends.alias("e")).select("e.*").groupBy("node").agg(F.sum("down").alias("down"), F.min("down").alias("low"))
+    return ends.filter("down > 1 OR (down = 1 AND low = 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (smallest node reachable) of every node on an edge.
 
@@ -230,9 +237,10 @@ def components(edges: DataFrame) -> DataFrame:
     of nodes, and each round's edges are written to the shared folder.
     """
     spark = edges.sparkSession
-    edges, path = written_at(edges.select("a", "b"), "edges")
-    state, n_edges = None, edges.count()
-    while True:
+    edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges, path = written_at(edges, "edges")
+    while not _stars(edges):
+        n_edges = edges.count()
         # A hub's edges are spread (join_hot): its least neighbour goes to them.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
@@ -244,13 +252,9 @@ def components(edges: DataFrame) -> DataFrame:
             F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
         )
         small, small_path = written_at(small.select("e.a", "e.b").filter("a <> b").distinct(), "edges")
-        now = small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop_path(spark, path)
         drop_path(spark, large_path)
         edges, path = small, small_path
-        if now == state:
-            break
-        state, n_edges = now, now[0]
     roots = edges.select("b").distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("root")))
 
