@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from functools import cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +15,18 @@ from ..storage import scratch as scratch_path
 HOT_SHARE = 2_000
 
 
+@cache
+def _trim():
+    """The C library's call that gives freed memory back, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda kept: 0)
+
+
+def give_back() -> None:
+    """Give the system the memory that this worker has freed, as workers live on from one stage to the next."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder made by :func:`gristmill.storage.scratch`."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._shared import give_back
 from .linear import svm
 
 #: Language codes by family.
@@ -54,8 +55,8 @@ PER_LANGUAGE = 200
 LONGEST = 20_000
 #: Each sampled text is learned whole and by a part of so many characters.
 PART = 120
-#: Characters whose n-grams are scored at once.
-_BLOCK = 1 << 20
+#: Characters whose n-grams are scored at once; a worker holds some 50 bytes for each, and 4 for each machine.
+_BLOCK = 1 << 17
 #: How steeply a margin turns into a score.
 _SLOPE = 3.0
 
@@ -72,14 +73,31 @@ def _letters() -> np.ndarray:
     return table
 
 
-def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letters of all texts, with spaces around each, and where each begins.
+def _codes(texts: list[str]) -> np.ndarray:
+    """Letters of all texts, with spaces around each: ``ORDERS`` more than it has characters.
 
     Two spaces end a text, so no n-gram reaches into another.
     """
-    raw = np.frombuffer(f" {'   '.join(texts)}  ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    size = np.fromiter((len(x) + ORDERS for x in texts), np.int64, len(texts))
-    return _letters()[raw], np.cumsum(size) - size
+    return _letters()[np.frombuffer(f" {'   '.join(texts)}  ".encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+
+def _blocks(texts: list[str], size: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """The codes of whole texts (from, to), or of part of a long one, about ``_BLOCK`` at a time.
+
+    A later part begins with the last characters of the one before, which n-grams
+    reach back to; the third value counts them.
+    """
+    ends, lo = np.cumsum(size), 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - size[lo] + _BLOCK, "right")))
+        if size[lo] <= _BLOCK:
+            yield lo, hi, 0, _codes(texts[lo:hi])
+        else:
+            for at in range(0, len(texts[lo]), _BLOCK):
+                again = min(at, ORDERS - 1)
+                codes = _codes([texts[lo][at - again : at + _BLOCK]])[at > 0 :]  # a space leads the first part, and two end the last
+                yield lo, hi, again, codes if at + _BLOCK >= len(texts[lo]) else codes[: 1 - ORDERS]
+        lo = hi
 
 
 def _grams(codes: np.ndarray) -> list[np.ndarray]:
@@ -96,7 +114,7 @@ def features(texts: list[str]) -> np.ndarray:
     """Frequencies of each text's n-grams, one row for each text."""
     out = np.zeros((len(texts), BUCKETS), np.float32)
     for i, text in enumerate(texts):
-        codes, _ = _codes([text])
+        codes = _codes([text])
         for h in _grams(codes):
             out[i] += np.bincount(h, minlength=BUCKETS)
         out[i] /= len(codes)
@@ -114,21 +132,14 @@ class Model:
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Margins of every machine, and whether a text has a letter."""
-        margins, letters = np.zeros((len(texts), len(self.machines))), np.zeros(len(texts), bool)
-        codes, start = _codes(texts)
-        size = np.diff(np.r_[start, len(codes)])
-        lo = 0
-        while lo < len(texts):
-            hi = max(lo + 1, int(np.searchsorted(start, start[lo] + _BLOCK, "left")))
-            part = codes[start[lo] : start[lo] + size[lo:hi].sum()]
-            at = start[lo:hi] - start[lo]
-            letters[lo:hi] = np.add.reduceat(part != 32, at, dtype=np.int64) > 0
-            total = np.zeros((hi - lo, len(self.machines)))
-            for h in _grams(part):
-                total += np.add.reduceat(self.weights[h], at, axis=0, dtype=np.float64)
-            margins[lo:hi] = total / size[lo:hi, None] + self.bias
-            lo = hi
-        return margins, letters
+        total, letters = np.zeros((len(texts), len(self.machines))), np.zeros(len(texts), bool)
+        size = np.fromiter((len(x) + ORDERS for x in texts), np.int64, len(texts))
+        for lo, hi, again, codes in _blocks(texts, size):
+            at = np.cumsum(size[lo:hi]) - size[lo:hi]
+            letters[lo:hi] |= np.add.reduceat(codes[again:] != 32, at, dtype=np.int64) > 0
+            for h in _grams(codes):
+                total[lo:hi] += np.add.reduceat(self.weights[h[again:]], at, axis=0, dtype=np.float64)
+        return total / size[:, None] + self.bias, letters
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         if not self.families:
@@ -229,5 +240,6 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", carry: list[s
                 names, score = held.value.predict([x or "" for x in text.slice(lo, hi - lo).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(names, pa.string()), pa.array(score)], ["row", "lang_pred", "score"])
                 lo = hi
+            give_back()
 
     return rows.mapInArrow(of_batches, schema)

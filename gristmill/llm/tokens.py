@@ -29,6 +29,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from ._shared import give_back
+
 #: Bytes of text that are encoded at once.
 BLOCK_BYTES = 8 << 20
 #: Distinct words kept; beyond it a worker starts anew.
@@ -212,7 +214,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.Reco
     size = 0
 
     def put_out() -> pa.RecordBatch:
-        pa.default_memory_pool().release_unused()
+        give_back()
         table = pa.Table.from_batches(held).combine_chunks()
         return table.to_batches()[0]
 
@@ -232,3 +234,4 @@ def blocks(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.Reco
                 held, size = [], 0
     if held:
         yield put_out()
+    give_back()
