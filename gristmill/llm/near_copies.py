@@ -1,12 +1,19 @@
-"""Near-copy groups by the Jaccard similarity of word shingles.
+"""Near-copy groups: SimHash prints by deletion variants, held against the Jaccard similarity of word shingles.
 
 Two documents link when the sets of their shingles have a similarity of
-``LEAST`` or more.  64-bit SimHash prints of such documents differ in about ten
-bits, which no index over 64 bits bounds, so candidates come from MinHash: a
-document has 20 keys of 4 minima each, and documents that share a key
-are compared on their whole shingle sets.  A pair at similarity s shares no
-key with probability ``(1 - s**rows)**bands``, 0.00003 at 0.8.
-
+``LEAST`` or more.  Candidates come from the 64-bit prints of the documents: the
+deletion variants of :mod:`.simhash` find all prints that differ in at most
+``MAX_BITS`` bits, and the documents are compared on their whole shingle sets.
+
+Prints of documents at 0.8 differ in about ten bits, which no index over 64
+bits bounds, so the rest is found by MinHash: a document has 20 keys of 4 minima
+each, and documents that share a key and are in no common group are compared in
+the same way.  A pair at similarity s shares no key with probability
+``(1 - s**rows)**bands``, 0.00003 at 0.8.
+
+Documents of equal prints are compared with the least of them, and so are the
+least documents of linked prints: first along one link of each print, then along
+all links that are left between different groups.
 Equal sets are made one first.  The least document of a key leads it; each
 document is compared with the least of its leaders, and then with one leader of
 each group that it is not yet in.  What this links is a group, and within a key
@@ -34,11 +41,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._shared import join_hot, join_salted, keep_rows, row_key, written
-from .simhash import SEED, components
+from .simhash import SEED, components, majority, shingle_hashes
+from .simhash import links as print_links
 
 WORDS = 5
 #: The least similarity of near copies, as a fraction.
 LEAST = (4, 5)
+#: Differing bits of linked prints: all that the two segments of the index reach.
+MAX_BITS = 3
 #: (bands, rows) of the keys, from coarse to fine.
 LEVELS = ((20, 4), (60, 8), (330, 16))
 #: Up to this many documents of a key are compared directly.
@@ -53,17 +63,7 @@ _FOLD, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Hashes of a text's distinct shingles, sorted."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return np.empty(0, np.uint64)
-    joined, digest = b" ".join(tokens), xxhash.xxh64_intdigest
-    if len(tokens) <= words:
-        return np.array([digest(joined, SEED)], np.uint64)
-    size = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    end = np.cumsum(size + 1) - 1
-    start = (end - size)[: len(tokens) - words + 1].tolist()
-    found = (digest(joined[a:b], SEED) for a, b in zip(start, end[words - 1 :].tolist()))
-    return np.unique(np.fromiter(found, np.uint64, len(start)))
+    return np.unique(shingle_hashes(text, words))
 
 
 def keys(found: np.ndarray, level: int = 0) -> np.ndarray:
@@ -83,11 +83,16 @@ def keys(found: np.ndarray, level: int = 0) -> np.ndarray:
 def _signatures(words: int):
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(x.as_py(), words) for x in batch.column(1)]
+            sets, prints = [], np.zeros(batch.num_rows, np.uint64)
+            for i, x in enumerate(batch.column(1)):
+                hashes = shingle_hashes(x.as_py(), words)
+                sets.append(np.unique(hashes))
+                prints[i] = majority(hashes)
             nodes = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets))
             bands = [keys(s).view(np.int64) for s in sets]
             size = pa.array([len(s) for s in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes.view(np.int64)), size, pa.array([b if len(s) else [] for b, s in zip(bands, sets)], pa.list_(pa.int64()))], ["id", "node", "size", "bands"])
+            own = [pa.array(x.view(np.int64)) for x in (nodes, prints)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *own, size, pa.array([b if len(s) else [] for b, s in zip(bands, sets)], pa.list_(pa.int64()))], ["id", "node", "fp", "size", "bands"])
 
     return of_batches
 
@@ -143,28 +148,60 @@ def _across(members: DataFrame, salts: int = 1) -> DataFrame:
     return met.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
+def _by_print(nodes: DataFrame) -> DataFrame:
+    """Candidates ``a``, ``b`` whose prints are equal (``a`` is the least) or linked (both are the least), and the print of ``a``."""
+    least = nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("m"), F.count("*").alias("n"))
+    prints = written(least.select("fp", F.col("m.node").alias("a"), F.col("m.size").alias("a_size"), "n"), "prints")
+    equal = join_hot(nodes.select("fp", "node", "size"), prints.filter("n > 1"), "fp", "n", nodes.count(), "inner").filter("a <> node")
+    equal = equal.select("fp", "a", "a_size", F.col("node").alias("b"), F.col("size").alias("b_size"))
+    edges = written(print_links(prints.select("fp"), MAX_BITS).select(F.col("a").alias("fp"), F.col("b").alias("other")), "edges")
+    table = prints.drop("n").join(edges.groupBy("fp").agg(F.count("*").alias("n")), "fp")
+    linked = join_hot(edges, table, "fp", "n", edges.count(), "inner").drop("n")
+    linked = linked.join(prints.select(F.col("fp").alias("other"), F.col("a").alias("b"), F.col("a_size").alias("b_size")), "other")
+    both = equal.unionByName(linked.select(*equal.columns)).filter(_sizes_fit("a_size", "b_size"))
+    return written(both.select("fp", "a", "b"), "by_print")
+
+
+def _between(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The ``pairs`` whose documents are in different groups."""
+    often = pairs.groupBy("a").agg(F.count("*").alias("n")).join(groups.select(F.col("node").alias("a"), "root"), "a", "left")
+    found = join_hot(pairs, often.select("a", F.coalesce("root", "a").alias("lead"), "n"), "a", "n", pairs.count(), "inner")
+    found = found.join(groups.select(F.col("node").alias("b"), "root"), "b", "left").filter("lead <> coalesce(root, b)")
+    return found.select("a", "b")
+
+
 def links(docs: DataFrame, key: Column, nodes: DataFrame, text_col: str = "text", words: int = WORDS, group: int = GROUP) -> DataFrame:
     """Links ``a``, ``b`` whose connected components are those of all similar pairs found.
 
-    ``nodes`` has ``node``, ``size``, ``key`` (of one document that has it) and ``bands``.
+    ``nodes`` has ``node``, ``fp``, ``size``, ``key`` (of one document that has it) and ``bands``.
     """
+    by_print = _by_print(nodes)
     bands = nodes.select("node", "size", F.explode("bands").alias("band"))
     shared = _shared_keys(bands)
     met = written(join_hot(bands, shared, "band", "n", bands.count(), "inner"), "met")
-    some = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "key")
+    some = met.select("node").unionByName(by_print.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    some = nodes.join(some, "node", "left_semi").select("node", "key")
     some = written(some, "candidates")
     rows = docs.select(key.alias("key"), F.col(text_col).cast("string").alias("text")).join(some, "key")
     rows = rows.dropDuplicates(["node"]).select("node", "text")
     sets = written(rows.mapInArrow(_sets(words), "node long, shingles array<long>"), "sets")
     found = None
     for level in range(1, len(LEVELS) + 1):
-        # Each document beside the least leader of its keys, then beside one leader of each other group.
+        # Each document beside the least of its print or of a linked one, and beside the least leader of its keys;
+        # then beside those of linked prints in other groups, and one leader of each other group.
         first = met.filter("a <> node").filter(_sizes_fit("size", "a_size")).groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a"))
+        if level == 1:
+            least = by_print.groupBy("b").agg(F.min(F.struct("fp", "a")).alias("m")).select("b", "m.a")
+            first = first.unionByName(least).distinct()
         near = written(_similar(written(first, "pairs"), sets), "links")
         found = near if found is None else found.unionByName(near)
-        parts = _parts(met, components(found))
+        groups = components(found)
+        parts = _parts(met, groups)
         second = parts.filter("part <> lead").filter(_sizes_fit("size", "a_size")).groupBy(F.col("node").alias("b"), "lead").agg(F.min("a").alias("a"))
-        near = written(_similar(written(second.select("a", "b"), "pairs"), sets), "links")
+        second = second.select("a", "b")
+        if level == 1:
+            second = second.unionByName(_between(by_print, groups)).distinct()
+        near = written(_similar(written(second, "pairs"), sets), "links")
         found = found.unionByName(near)
         if not near.isEmpty():
             parts = _parts(met, components(found))
@@ -202,18 +239,29 @@ def _shared_keys(bands: DataFrame) -> DataFrame:
     return written(least.select("band", F.col("m.node").alias("a"), F.col("m.size").alias("a_size"), "n"), "shared")
 
 
+def _nodes(rows: DataFrame) -> DataFrame:
+    """Of each distinct set of shingles its least row's ``least`` and ``key``, its print, size and keys."""
+    nodes = rows.groupBy("node").agg(F.min(F.struct("id", "fp", "size", "bands")).alias("m"))
+    return written(nodes.select("node", F.col("m.id").alias("least"), F.col("m.id.key").alias("key"), "m.fp", "m.size", "m.bands"), "nodes")
+
+
+def _signed(docs: DataFrame, key: Column, id_col: str, text_col: str, words: int) -> DataFrame:
+    """``id`` (by which the first row is found), ``node``, ``fp``, ``size`` and ``bands`` of every row."""
+    order = F.struct(F.col(id_col).isNull().alias("none"), key.alias("key"))
+    rows = docs.select(order.alias("id"), F.col(text_col).cast("string").alias("text"))
+    kinds = {"node": T.LongType(), "fp": T.LongType(), "size": T.IntegerType(), "bands": T.ArrayType(T.LongType())}
+    schema = T.StructType([rows.schema["id"], *(T.StructField(k, v) for k, v in kinds.items())])
+    return written(rows.mapInArrow(_signatures(words), schema), "signatures")
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, group: int = GROUP) -> DataFrame:
     """The columns and rows of ``docs``, of each group the first row only.
 
     First is by id, null ids last, then by the text's hash, then by all columns.
     """
     key = row_key(id_col, text_col)
-    order = F.struct(F.col(id_col).isNull().alias("none"), key.alias("key"))
-    rows = docs.select(order.alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([rows.schema["id"], T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-    rows = written(rows.mapInArrow(_signatures(words), schema), "signatures")
-    nodes = rows.groupBy("node").agg(F.min(F.struct("id", "size", "bands")).alias("m"))
-    nodes = written(nodes.select("node", F.col("m.id").alias("least"), F.col("m.id.key").alias("key"), F.col("m.size").alias("size"), F.col("m.bands").alias("bands")), "nodes")
+    rows = _signed(docs, key, id_col, text_col, words)
+    nodes = _nodes(rows)
     part_of = components(links(docs, key, nodes, text_col, words, group))
     part_of = nodes.join(part_of, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     least = part_of.groupBy("root").agg(F.min("least").alias("id")).select("id")

@@ -44,25 +44,34 @@ _LANES = np.arange(8, dtype=np.uint16) * 256
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The fingerprint of one text as an unsigned 64-bit integer."""
+def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
+    """Hashes of a text's shingles in their order, repeats included."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(tokens)
     digest = xxhash.xxh64_intdigest
     if len(tokens) <= words:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED)], np.uint64)
     size = np.fromiter(map(len, tokens), np.int64, len(tokens))
     end = np.cumsum(size + 1) - 1
     start = (end - size)[: len(tokens) - words + 1].tolist()
-    end = end[words - 1 :].tolist()
-    n, counts = len(start), np.zeros(64, np.int64)
-    for i in range(0, n, _CHUNK):
-        part = [digest(joined[a:b], SEED) for a, b in zip(start[i : i + _CHUNK], end[i : i + _CHUNK])]
-        lanes = np.array(part, np.uint64).view(np.uint8).reshape(-1, 8) + _LANES
+    found = (digest(joined[a:b], SEED) for a, b in zip(start, end[words - 1 :].tolist()))
+    return np.fromiter(found, np.uint64, len(start))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as an unsigned 64-bit integer."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), _CHUNK):
+        lanes = hashes[i : i + _CHUNK].view(np.uint8).reshape(-1, 8) + _LANES
         counts += (np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256) @ _BITS).ravel()
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The fingerprint of one text as an unsigned 64-bit integer."""
+    return majority(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, id_: Column, text_col: str = "text", words: int = 3) -> DataFrame:

@@ -9,6 +9,7 @@ from gristmill.llm import near_copies
 
 from ..conftest import SMALL
 from .helpers import EDGES, components, documents
+from .test_simhash import slow_fingerprint
 
 
 def slow_shingles(text, n=5):
@@ -97,3 +98,33 @@ def test_similar_sets_share_a_key(share):
         a, b = (near_copies.keys(np.concatenate([both, x])) for x in (one, two))
         missed += not (a == b).any()
     assert missed <= 2
+
+
+def test_prints_link_without_keys(spark):
+    """Near copies by deletion variants alone; equal prints of unlike texts stay apart."""
+    rng, texts = random.Random(13), []
+    for n in (40, 200, 600) * 4:
+        words = [f"w{rng.randint(0, 10_000)}" for _ in range(n)]
+        for _ in range(4):
+            texts.append(" ".join(words))
+            words = [*words, f"end{rng.random()}"]
+        texts.append(texts[-1].upper())
+    for _ in range(3):
+        texts.append("word " * 3_000 + " ".join(f"w{rng.randint(0, 10_000)}" for _ in range(100)))
+    texts += [None, "", "one"]
+    sets, prints = [slow_shingles(t) for t in texts], [slow_fingerprint(t, 5) for t in texts]
+    linked = [[(prints[i] ^ prints[j]).bit_count() <= 3 for j in range(len(texts))] for i in range(len(texts))]
+    assert linked[-6][-5] and not similar(sets[-6], sets[-5])
+    wanted = components(len(texts), lambda i, j: linked[i][j] and similar(sets[i], sets[j]))
+    assert len(set(wanted)) < len(texts) - 30
+    docs = documents(spark, texts)
+    key = near_copies.row_key("doc_id", "text")
+    rows = near_copies._signed(docs, key, "doc_id", "text", near_copies.WORDS)
+    nodes = near_copies._nodes(rows).withColumn("bands", F.array().cast("array<long>"))
+    found = near_copies.components(near_copies.links(docs, key, nodes))
+    root = {r.node: r.root for r in found.collect()}
+    got: dict = {}
+    for r in rows.collect():
+        assert r.fp & (2**64 - 1) == prints[r.id.key.id]
+        got.setdefault(root.get(r.node, r.node), []).append(r.id.key.id)
+    assert sorted(map(sorted, got.values())) == sorted([i for i, r in enumerate(wanted) if r == x] for x in set(wanted))
