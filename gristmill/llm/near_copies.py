@@ -3,26 +3,21 @@
 Two documents link when the sets of their shingles have a similarity of
 ``LEAST`` or more.  Candidates come from the 64-bit prints of the documents: the
 deletion variants of :mod:`.simhash` find all prints that differ in at most
-``MAX_BITS`` bits, and the documents are compared on their whole shingle sets.
-
-Prints of documents at 0.8 differ in about ten bits, which no index over 64
-bits bounds, so the rest is found by MinHash: a document has 20 keys of 4 minima
-each, and documents that share a key and are in no common group are compared in
-the same way.  A pair at similarity s shares no key with probability
-``(1 - s**rows)**bands``, 0.00003 at 0.8.
-
-Documents of equal prints are compared with the least of them, and so are the
-least documents of linked prints: first along one link of each print, then along
-all links that are left between different groups.
-Equal sets are made one first.  The least document of a key leads it; each
-document is compared with the least of its leaders, and then with one leader of
-each group that it is not yet in.  What this links is a group, and within a key
-only documents of different groups are compared again.  Sets whose sizes alone
-rule out ``LEAST`` are never fetched.  A key of more than ``GROUP`` documents
-makes no pairs of its own: its documents get finer keys (the next of
-``LEVELS``) and meet under those, so pairs grow with the documents and not with
-their square.  Only documents that agree on the finest keys and are still not
-alike are compared all with all, by a join that spreads each key.
+``MAX_BITS`` bits.  Prints of documents at 0.8 differ in about ten bits, which no
+index over 64 bits bounds, so the rest is found by MinHash: a document has
+``BANDS`` keys of ``ROWS`` minima each, and documents that share a key are
+candidates too.  A pair at similarity s shares no key with probability
+``(1 - s**ROWS)**BANDS``, 0.00003 at 0.8.
+
+Equal sets are made one first.  Candidates hang on the least document of their
+print or key, so they make fewer rows than documents have keys.  The components
+of these edges are clusters, and the sets of a cluster meet in one place, where
+every pair in it is compared whole, by counts over an index of its shingles, and
+only the groups found go on: a row for each document, whatever the number of
+pairs.  A cluster of more than ``GROUP`` documents (or ``SHINGLES`` shingles) is
+cut into blocks, and each two of its blocks meet, so a place holds two blocks at
+most and no pair is left out; sets of such a cluster move once for each other
+block of it.
 
 Defined results: a null text counts as empty; texts without words are equal; a
 text with fewer words than a shingle is one shingle; case of A-Z and kind of
@@ -40,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import join_hot, join_salted, keep_rows, row_key, written
+from ._shared import give_back, join_hot, keep_rows, row_key, written
 from .simhash import SEED, components, majority, shingle_hashes
 from .simhash import links as print_links
 
@@ -49,15 +44,16 @@ WORDS = 5
 LEAST = (4, 5)
 #: Differing bits of linked prints: all that the two segments of the index reach.
 MAX_BITS = 3
-#: (bands, rows) of the keys, from coarse to fine.
-LEVELS = ((20, 4), (60, 8), (330, 16))
-#: Up to this many documents of a key are compared directly.
-GROUP = 64
+#: Keys of a document, and minima of a key.
+BANDS, ROWS = 20, 4
+#: About so many documents, and shingles of theirs, are a block: two blocks are held at once.
+GROUP = 1_024
+SHINGLES = 1 << 19
 #: Shingles whose minima are taken at once.
 _CHUNK = 1 << 10
 
 _RANDOM = np.random.default_rng(SEED)
-_HASHES = [tuple(_RANDOM.integers(0, 1 << 64, bands * rows, np.uint64, endpoint=False) for _ in range(2)) for bands, rows in LEVELS]
+_MIX, _TIMES = (_RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64, endpoint=False) for _ in range(2))
 _FOLD, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 
 
@@ -66,15 +62,13 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(shingle_hashes(text, words))
 
 
-def keys(found: np.ndarray, level: int = 0) -> np.ndarray:
+def keys(found: np.ndarray) -> np.ndarray:
     """The keys of a set of shingles."""
-    (bands, rows), (mix, times) = LEVELS[level], _HASHES[level]
-    step = max(1, _CHUNK * 80 // len(mix))
-    least = np.full(bands * rows, np.iinfo(np.uint64).max)
-    for i in range(0, len(found), step):
-        least = np.minimum(least, ((found[i : i + step, None] ^ mix) * (times | np.uint64(1))).min(0))
-    out = np.arange(bands, dtype=np.uint64)
-    for row in least.reshape(bands, rows).T:
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for i in range(0, len(found), _CHUNK):
+        least = np.minimum(least, ((found[i : i + _CHUNK, None] ^ _MIX) * (_TIMES | np.uint64(1))).min(0))
+    out = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
         out = (out ^ row) * _FOLD
         out ^= out >> _SHIFT
     return out
@@ -98,28 +92,79 @@ def _signatures(words: int):
 
 
 def _sets(words: int):
+    """The shingles of documents (``cells``, ``node``, ``text``), once for each cell."""
+
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                sets = pa.array([shingles(x.as_py(), words).view(np.int64) for x in part.column(1)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), sets], ["node", "shingles"])
+                sets = pa.array([shingles(x.as_py(), words).view(np.int64) for x in part.column(2)], pa.list_(pa.int64()))
+                cells = part.column(0)
+                at = pa.array(np.repeat(np.arange(len(cells)), cells.value_lengths().to_numpy()))
+                for i in range(0, len(at), 500):
+                    some = at.slice(i, 500)
+                    yield pa.RecordBatch.from_arrays([cells.flatten().slice(i, 500), part.column(1).take(some), sets.take(some)], ["cell", "node", "shingles"])
 
     return of_batches
 
 
-def _finer(level: int):
-    """Finer keys for documents (``band``, ``node``, ``size``, ``shingles``) of crowded keys."""
-
-    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                band, found = batch.column(0)[i].as_py(), batch.column(3)[i].values.to_numpy(zero_copy_only=False)
-                fine = (keys(found.view(np.uint64), level) ^ np.int64(band).view(np.uint64)) * _FOLD
-                same = [pa.array(np.full(len(fine), batch.column(j)[i].as_py(), t)) for j, t in ((1, np.int64), (2, np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array(fine.view(np.int64)), *same], ["band", "node", "size"])
-
-    return of_batches
+def _groups(nodes: np.ndarray, size: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of the least of each group of similar sets to its others; ``found`` has the sets one after the other."""
+    up, down = LEAST
+    doc = np.repeat(np.arange(len(nodes), dtype=np.int32), size)
+    _, of = np.unique(found, return_inverse=True)
+    often = np.bincount(of)
+    # Shingles that several sets have: each set's, and the sets of each.
+    shared = often[of] > 1
+    of, doc = of[shared].astype(np.int32), doc[shared]
+    at = np.searchsorted(doc, np.arange(len(nodes) + 1))
+    sets = doc[np.argsort(of, kind="stable")]
+    often = np.where(often > 1, often, 0)
+    start = np.cumsum(often) - often
+    left, a, b = np.ones(len(nodes), bool), [], []
+    for first in np.argsort(nodes).tolist():
+        if not left[first]:
+            continue
+        left[first], todo = False, [first]
+        while todo:
+            one = todo.pop()
+            own = of[at[one] : at[one + 1]]
+            n = often[own]
+            ends = np.cumsum(n)
+            met = sets[np.repeat(start[own] - (ends - n), n) + np.arange(n.sum())]
+            both = np.bincount(met, minlength=len(nodes))
+            near = np.flatnonzero(left & (down * both >= up * (size[one] + size - both)))
+            left[near] = False
+            todo += near.tolist()
+            a.append(np.full(len(near), nodes[first]))
+            b.append(nodes[near])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links ``a``, ``b`` from rows (``cell``, ``node``, ``shingles``) sorted by cell."""
+    held: list[pa.RecordBatch] = []  # of one cell, which may go on in the next batch
+
+    def out() -> tuple[np.ndarray, np.ndarray]:
+        nodes, size = (np.concatenate([x.to_numpy(zero_copy_only=False) for x in xs]) for xs in ([p.column(1) for p in held], [p.column(2).value_lengths() for p in held]))
+        return _groups(nodes, size.astype(np.int64), np.concatenate([p.column(2).flatten().to_numpy(zero_copy_only=False) for p in held]))
+
+    def links_of(done: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in done]), pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        cell, done = batch.column(0).to_numpy(zero_copy_only=False), []
+        cuts = np.r_[0, np.flatnonzero(np.diff(cell)) + 1, len(cell)] if len(cell) else [0]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if held and held[0].column(0)[0].as_py() != cell[lo]:
+                done.append(out())
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+        if done:
+            yield links_of(done)
+    if held:
+        yield links_of([out()])
+    give_back()
 
 
 def _sizes_fit(one: str, two: str) -> Column:
@@ -128,20 +173,8 @@ def _sizes_fit(one: str, two: str) -> Column:
     return down * F.least(one, two) >= up * F.greatest(one, two)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets are similar; both sets are compared whole."""
-    often = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    table = often.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    found = join_salted(pairs, table, "a", "n", pairs.count())
-    found = found.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    up, down = LEAST
-    x, y = F.size("x"), F.size("y")
-    both = F.size(F.array_intersect("x", "y"))
-    return found.filter(down * both >= up * (x + y - both)).select("a", "b")
-
-
 def _across(members: DataFrame, salts: int = 1) -> DataFrame:
-    """Pairs of documents (``band``, ``node``, ``size``, ``part``) under one key but of different groups, whose sizes fit."""
+    """Pairs of blocks (``band``, ``node``, ``size``, ``part``) under one key but of different parts, whose sizes fit."""
     one = members.select("band", F.col("node").alias("x"), F.col("size").alias("xs"), F.col("part").alias("p"), F.pmod(F.xxhash64("node"), F.lit(salts)).alias("salt"))
     two = members.select("band", F.col("node").alias("y"), F.col("size").alias("ys"), F.col("part").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
     met = one.join(two, ["band", "salt"]).filter("x < y AND p <> q").filter(_sizes_fit("xs", "ys"))
@@ -149,25 +182,39 @@ def _across(members: DataFrame, salts: int = 1) -> DataFrame:
 
 
 def _by_print(nodes: DataFrame) -> DataFrame:
-    """Candidates ``a``, ``b`` whose prints are equal (``a`` is the least) or linked (both are the least), and the print of ``a``."""
-    least = nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("m"), F.count("*").alias("n"))
-    prints = written(least.select("fp", F.col("m.node").alias("a"), F.col("m.size").alias("a_size"), "n"), "prints")
-    equal = join_hot(nodes.select("fp", "node", "size"), prints.filter("n > 1"), "fp", "n", nodes.count(), "inner").filter("a <> node")
-    equal = equal.select("fp", "a", "a_size", F.col("node").alias("b"), F.col("size").alias("b_size"))
+    """Candidates ``a``, ``b`` whose prints are equal (``a`` is the least) or linked (both are the least)."""
+    prints = written(nodes.groupBy("fp").agg(F.min("node").alias("a"), F.count("*").alias("n")), "prints")
+    equal = join_hot(nodes.select("fp", "node"), prints.filter("n > 1"), "fp", "n", nodes.count(), "inner").select("a", F.col("node").alias("b"))
     edges = written(print_links(prints.select("fp"), MAX_BITS).select(F.col("a").alias("fp"), F.col("b").alias("other")), "edges")
     table = prints.drop("n").join(edges.groupBy("fp").agg(F.count("*").alias("n")), "fp")
     linked = join_hot(edges, table, "fp", "n", edges.count(), "inner").drop("n")
-    linked = linked.join(prints.select(F.col("fp").alias("other"), F.col("a").alias("b"), F.col("a_size").alias("b_size")), "other")
-    both = equal.unionByName(linked.select(*equal.columns)).filter(_sizes_fit("a_size", "b_size"))
-    return written(both.select("fp", "a", "b"), "by_print")
-
-
-def _between(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The ``pairs`` whose documents are in different groups."""
-    often = pairs.groupBy("a").agg(F.count("*").alias("n")).join(groups.select(F.col("node").alias("a"), "root"), "a", "left")
-    found = join_hot(pairs, often.select("a", F.coalesce("root", "a").alias("lead"), "n"), "a", "n", pairs.count(), "inner")
-    found = found.join(groups.select(F.col("node").alias("b"), "root"), "b", "left").filter("lead <> coalesce(root, b)")
-    return found.select("a", "b")
+    linked = linked.join(prints.select(F.col("fp").alias("other"), F.col("a").alias("b")), "other").select("a", "b")
+    return equal.unionByName(linked).filter("a <> b")
+
+
+def _by_key(nodes: DataFrame) -> DataFrame:
+    """Candidates ``a``, ``b`` that share a key of which ``a`` is the least."""
+    bands = nodes.select("node", F.explode("bands").alias("band"))
+    shared = written(bands.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1"), "shared")
+    met = join_hot(bands, shared, "band", "n", bands.count(), "inner")
+    return met.filter("a <> node").select("a", F.col("node").alias("b")).distinct()
+
+
+def _cells(clusters: DataFrame, nodes: DataFrame, group: int) -> DataFrame:
+    """``key``, ``node`` and ``cells`` (where its set is compared) of documents (``node``, ``root``) in clusters."""
+    members = written(clusters.join(nodes.select("node", "size", "key"), "node"), "members")
+    sums = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    sums = written(sums.select("root", "n", F.greatest(F.ceil(F.col("n") / group), F.ceil(F.col("size") / SHINGLES)).alias("blocks")), "clusters")
+    block = F.xxhash64("root", F.pmod(F.xxhash64("node"), "blocks")).alias("block")
+    placed = join_hot(members.drop("size"), sums, "root", "n", members.count(), "inner").select("key", "node", "blocks", block)
+    cut = sums.filter("blocks > 1")
+    if cut.isEmpty():
+        return placed.select("key", "node", F.array("block").alias("cells"))
+    number = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    blocks = cut.select(F.col("root").alias("band"), number.alias("i")).select("band", F.xxhash64("band", "i").alias("node"), F.lit(1).alias("size"), F.col("i").alias("part"))
+    pairs = _across(blocks, 32).select(F.explode(F.array("a", "b")).alias("block"), F.xxhash64("a", "b").alias("cell"))
+    several = placed.join(pairs.groupBy("block").agg(F.collect_list("cell").alias("cells")), "block").select("key", "node", "cells")
+    return placed.filter("blocks = 1").select("key", "node", F.array("block").alias("cells")).unionByName(several)
 
 
 def links(docs: DataFrame, key: Column, nodes: DataFrame, text_col: str = "text", words: int = WORDS, group: int = GROUP) -> DataFrame:
@@ -175,68 +222,12 @@ def links(docs: DataFrame, key: Column, nodes: DataFrame, text_col: str = "text"
 
     ``nodes`` has ``node``, ``fp``, ``size``, ``key`` (of one document that has it) and ``bands``.
     """
-    by_print = _by_print(nodes)
-    bands = nodes.select("node", "size", F.explode("bands").alias("band"))
-    shared = _shared_keys(bands)
-    met = written(join_hot(bands, shared, "band", "n", bands.count(), "inner"), "met")
-    some = met.select("node").unionByName(by_print.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
-    some = nodes.join(some, "node", "left_semi").select("node", "key")
-    some = written(some, "candidates")
-    rows = docs.select(key.alias("key"), F.col(text_col).cast("string").alias("text")).join(some, "key")
-    rows = rows.dropDuplicates(["node"]).select("node", "text")
-    sets = written(rows.mapInArrow(_sets(words), "node long, shingles array<long>"), "sets")
-    found = None
-    for level in range(1, len(LEVELS) + 1):
-        # Each document beside the least of its print or of a linked one, and beside the least leader of its keys;
-        # then beside those of linked prints in other groups, and one leader of each other group.
-        first = met.filter("a <> node").filter(_sizes_fit("size", "a_size")).groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a"))
-        if level == 1:
-            least = by_print.groupBy("b").agg(F.min(F.struct("fp", "a")).alias("m")).select("b", "m.a")
-            first = first.unionByName(least).distinct()
-        near = written(_similar(written(first, "pairs"), sets), "links")
-        found = near if found is None else found.unionByName(near)
-        groups = components(found)
-        parts = _parts(met, groups)
-        second = parts.filter("part <> lead").filter(_sizes_fit("size", "a_size")).groupBy(F.col("node").alias("b"), "lead").agg(F.min("a").alias("a"))
-        second = second.select("a", "b")
-        if level == 1:
-            second = second.unionByName(_between(by_print, groups)).distinct()
-        near = written(_similar(written(second, "pairs"), sets), "links")
-        found = found.unionByName(near)
-        if not near.isEmpty():
-            parts = _parts(met, components(found))
-        parts = parts.select("band", "node", "size", "n", "part")
-        mixed = written(parts.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.max("n").alias("n")).filter("lo < hi").select("band", "n"), "mixed")
-        members = parts.drop("n").join(mixed.filter(F.col("n") <= group), "band")
-        more = written(_similar(written(_across(members), "pairs"), sets), "links")
-        found = found.unionByName(more)
-        crowded = join_hot(parts.drop("n"), mixed.filter(F.col("n") > group), "band", "n", parts.count(), "inner")
-        crowded = written(crowded.select("band", "node", "size", "part"), "crowded")
-        if crowded.isEmpty():
-            break
-        if level == len(LEVELS):
-            found = found.unionByName(written(_similar(written(_across(crowded, 32), "pairs"), sets), "links"))
-            break
-        # What follows compares no others.
-        sets = written(sets.join(crowded.select("node").distinct(), "node", "left_semi"), "sets")
-        fine = crowded.join(sets, "node").select("band", "node", "size", "shingles")
-        fine = written(fine.mapInArrow(_finer(level), "band long, node long, size int"), "finer")
-        met = written(join_hot(fine, _shared_keys(fine), "band", "n", fine.count(), "inner"), "met")
-    return found
-
-
-def _parts(met: DataFrame, groups: DataFrame) -> DataFrame:
-    """``met`` with the group of each document (``part``) and of its key's leader (``lead``)."""
-    leads = written(met.select("a").distinct().join(groups.select(F.col("node").alias("a"), "root"), "a", "left").select("a", F.coalesce("root", "a").alias("lead")), "leads")
-    own = met.join(groups.select("node", "root"), "node", "left").select("band", "node", "size", "a", "a_size", "n", F.coalesce("root", "node").alias("part"))
-    weighed = leads.join(met.groupBy("a").agg(F.count("*").alias("w")), "a")
-    return written(join_hot(own, weighed, "a", "w", met.count(), "inner").select("band", "node", "size", "a", "a_size", "n", "part", "lead"), "parts")
-
-
-def _shared_keys(bands: DataFrame) -> DataFrame:
-    """Keys that several documents have, with the least of them, its size, and their number."""
-    least = bands.groupBy("band").agg(F.min(F.struct("node", "size")).alias("m"), F.count("*").alias("n")).filter("n > 1")
-    return written(least.select("band", F.col("m.node").alias("a"), F.col("m.size").alias("a_size"), "n"), "shared")
+    clusters = components(_by_print(nodes).unionByName(_by_key(nodes)))
+    placed = written(_cells(clusters, nodes, group), "cells")
+    rows = docs.select(key.alias("key"), F.col(text_col).cast("string").alias("text")).join(placed, "key")
+    rows = rows.dropDuplicates(["key"]).select("cells", "node", "text")
+    sets = rows.mapInArrow(_sets(words), "cell long, node long, shingles array<long>")
+    return written(sets.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare, "a long, b long"), "links")
 
 
 def _nodes(rows: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +129,47 @@ def test_prints_link_without_keys(spark):
         assert r.fp & (2**64 - 1) == prints[r.id.key.id]
         got.setdefault(root.get(r.node, r.node), []).append(r.id.key.id)
     assert sorted(map(sorted, got.values())) == sorted([i for i, r in enumerate(wanted) if r == x] for x in set(wanted))
+
+
+def mostly_alike(rng, n, kept_words=0.97):
+    """Texts with parts of one text, many pairs of them candidates and few of them near copies."""
+    base = [f"w{i}" for i in range(150)]
+    return [" ".join(w if rng.random() < kept_words else f"x{rng.random()}" for w in base) for _ in range(n)]
+
+
+@pytest.mark.parametrize("shingles", [1 << 19, 2_000])
+def test_unlike_candidates_make_no_pairs_of_documents(spark, monkeypatch, shingles):
+    texts, across, made = mostly_alike(random.Random(14), 90), near_copies._across, []
+
+    def counted(*args):
+        found = across(*args)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(near_copies, "_across", counted)
+    monkeypatch.setattr(near_copies, "SHINGLES", shingles, raising=False)
+    wanted = kept(texts)
+    assert 10 < len(wanted) < 80
+    assert sorted(r.doc_id for r in near_copies.keep_first(documents(spark, texts)).collect()) == wanted
+    assert sum(made) < len(texts)
+
+
+def test_cells_that_span_batches():
+    rng, cells, sets = random.Random(15), [], []
+    for cell in range(30):
+        for t in mostly_alike(rng, rng.choice([1, 2, 3, 40])):
+            cells.append(cell)
+            sets.append(near_copies.shingles(t).view(np.int64))
+    nodes = [rng.randrange(-(2**63), 2**63) for _ in sets]
+    batch = pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["cell", "node", "shingles"])
+    shingle_sets = [set(x.tolist()) for x in sets]
+    roots = components(len(sets), lambda i, j: cells[i] == cells[j] and similar(shingle_sets[i], shingle_sets[j]))
+    wanted = sorted(sorted(nodes[i] for i, r in enumerate(roots) if r == x) for x in set(roots))
+    for size in (1, 7, len(sets)):
+        group = {n: [n] for n in nodes}
+        batches = (batch.slice(i, size) for i in range(0, len(sets), size))
+        for out in near_copies._compare(batches):
+            for a, b in zip(*(x.to_pylist() for x in out.columns)):
+                group[a].append(b)
+                del group[b]
+        assert sorted(map(sorted, group.values())) == wanted
