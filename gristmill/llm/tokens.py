@@ -33,15 +33,16 @@ from ._shared import give_back
 
 #: Bytes of text that are encoded at once.
 BLOCK_BYTES = 8 << 20
-#: Distinct words kept; beyond it a worker starts anew.
+#: Distinct words kept; beyond it a worker goes on with those that came again, or starts anew.
 KEPT_WORDS = 1_000_000
 #: Tokens put together at once.
 _GATHER = 1 << 19
 _JOINED = 256
 #: Stands before the first word of a text, which no space leads.
 _MARK = "\x01"
-#: White space, as the widest of the patterns has it, before a space.
-_WIDE = r"[\x01\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] |\x01"
+#: White space, as the widest of the patterns has it; and that or the mark before a space, or the mark.
+_SPACE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_WIDE = rf"[\x01{_SPACE}] |\x01"
 
 #: What a "drop" tokenizer does to a text before it looks words up.
 _DROP_STEPS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -49,13 +50,14 @@ _DROP_WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 class _Words:
-    """Words and their ids, in three flat arrays."""
+    """Words and their ids, in flat arrays; ``again`` are those that came in a later block."""
 
     def __init__(self) -> None:
         self.words = pa.array([], pa.string())
         self.start = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint16)
+        self.again = np.zeros(0, bool)
 
     def add(self, words: pa.Array, size: np.ndarray, ids: np.ndarray) -> None:
         if len(self.words) + len(words) > KEPT_WORDS:
@@ -65,6 +67,15 @@ class _Words:
         self.start = np.concatenate([self.start, first + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size.astype(np.int32)])
         self.ids = np.concatenate([self.ids, ids])
+        self.again = np.concatenate([self.again, np.zeros(len(words), bool)])
+
+    def without_rare(self) -> _Words:
+        """The words that came again, if they leave room for as many others."""
+        out = _Words()
+        if 2 * int(self.again.sum()) <= KEPT_WORDS:
+            size = self.size[self.again]
+            out.add(self.words.filter(pa.array(self.again)), size, self.ids[np.repeat(self.again, self.size)])
+        return out
 
 
 class Encoder:
@@ -114,15 +125,16 @@ class Encoder:
         flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
         return size, flat
 
-    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _joined(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many words, encoded as a few long texts."""
-        if not words:
+        if not len(words):
             return np.zeros(0, np.int64), np.zeros(0, np.uint16)
         between = " " if self.kind == "lead" else f" {_MARK} "
+        at = pa.array(np.r_[np.arange(0, len(words), _JOINED), len(words)].astype(np.int32))
+        long = pc.binary_join(pa.ListArray.from_arrays(at, words), between)
         parts = []
-        for i in range(0, len(words), 32 * _JOINED):  # an encoding holds far more than its ids
-            some = [between.join(words[j : j + _JOINED]) for j in range(i, min(len(words), i + 32 * _JOINED), _JOINED)]
-            some = [between + x if self.kind == "lead" else x + between for x in some]
+        for i in range(0, len(long), 32):  # an encoding holds far more than its ids
+            some = [between + x if self.kind == "lead" else x + between for x in long.slice(i, 32).to_pylist()]
             parts += [np.array(x.ids, np.uint16) for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
         ids = np.concatenate(parts)
         del parts
@@ -137,39 +149,49 @@ class Encoder:
             raise AssertionError(f"{len(words)} words gave {len(size)} parts")
         return size, ids
 
-    def _learn(self, new: pa.Array) -> None:
-        words = new.to_pylist()
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """Keep the ids of new words; returns the words' places."""
         if self.kind == "lead":
-            apart = np.array([not w or w[0] == _MARK or w[-1].isspace() for w in words], bool)
+            apart = pc.or_(pc.equal(new, ""), pc.match_substring_regex(new, rf"^\x01|[{_SPACE}]$"))
         else:
-            apart = np.array([_MARK in w for w in words], bool)
-        size, ids = np.zeros(len(words), np.int64), []
-        alone = [w[1:] if self.kind == "lead" and w[:1] == _MARK else f" {w}" if self.kind == "lead" else w for w, x in zip(words, apart) if x]
+            apart = pc.match_substring(new, _MARK)
+        alone = new.filter(apart).to_pylist()
+        if self.kind == "lead":
+            alone = [w[1:] if w[:1] == _MARK else f" {w}" for w in alone]
+        apart = apart.to_numpy(zero_copy_only=False)
+        size = np.zeros(len(new), np.int64)
         size[apart], own = self._whole(alone) if alone else (0, np.zeros(0, np.uint32))
-        size[~apart], rest = self._joined([w for w, x in zip(words, apart) if not x])
+        size[~apart], rest = self._joined(new.filter(pa.array(~apart)))
         order = np.r_[np.flatnonzero(apart), np.flatnonzero(~apart)]
         self.kept.add(new.take(pa.array(order)), size[order], np.concatenate([own.astype(np.uint16), rest]))
+        place = np.empty(len(new), np.int64)
+        place[order] = len(self.kept.words) - len(new) + np.arange(len(new))
+        return place
 
     def _by_word(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if self.kind == "drop":
             texts = pc.ascii_lower(pc.replace_substring(texts, "\n", " "))
             texts = pc.replace_substring_regex(texts, r"([a-z])([.,])( |$)", r"\1 \2\3")
+        else:
+            texts = pc.binary_join_element_wise(_MARK, texts, "")
         split = pc.split_pattern(texts, " ")
         at, words = split.offsets.to_numpy().astype(np.int64), split.flatten()
         at -= at[0]
-        if self.kind == "lead":
-            first = np.zeros(len(words), bool)
-            first[at[:-1]] = True
-            words = pc.if_else(pa.array(first), pc.binary_join_element_wise(_MARK, words, ""), words)
         coded = words.dictionary_encode()
         codes, distinct = coded.indices.to_numpy(), coded.dictionary
-        new = distinct.filter(pc.is_null(pc.index_in(distinct, value_set=self.kept.words)))
-        if len(self.kept.words) + len(new) > KEPT_WORDS:
-            self.kept = _Words()
-            new = distinct
-        if len(new):
-            self._learn(new)
-        place = pc.index_in(distinct, value_set=self.kept.words).to_numpy()[codes]
+        found = pc.index_in(distinct, value_set=self.kept.words)
+        if found.null_count and len(self.kept.words) + found.null_count > KEPT_WORDS:
+            self.kept = self.kept.without_rare()
+            found = pc.index_in(distinct, value_set=self.kept.words)
+            if len(self.kept.words) + found.null_count > KEPT_WORDS:
+                self.kept = _Words()
+                found = pa.nulls(len(distinct), pa.int32())
+        place = pc.fill_null(found, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = found.is_null().to_numpy(zero_copy_only=False)
+        self.kept.again[place[~new]] = True
+        if new.any():
+            place[new] = self._learn(distinct.filter(pa.array(new)))
+        place = place[codes]
         size = self.kept.size[place]
         ends = np.r_[0, np.cumsum(size, dtype=np.int64)]
         lo, after = 0, ends[at]

@@ -49,6 +49,19 @@ def test_ids_are_the_library_s(path, kind, monkeypatch):
     assert encoded(tokens.Encoder(path), texts) == wanted
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_words_that_come_again_are_encoded_once(path, monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_WORDS", 200)
+    coder, ids, learned = tokens.Encoder(path), reference(path), []
+    learn = coder._learn
+    monkeypatch.setattr(coder, "_learn", lambda new: learned.append(len(new)) or learn(new))
+    often = [f"often{i}" for i in range(40)]
+    for block in range(20):
+        texts = [f"the {w} rare{block}x{i} end." for i, w in enumerate(often)] + [f"rare{block}", ""]
+        assert encoded(coder, texts) == [ids(t) for t in texts]
+    assert sum(learned) < 20 * 42 + 60  # 41 a block are new, and 40 and some come in each
+
+
 def test_blocks_keep_the_rows(monkeypatch):
     monkeypatch.setattr(tokens, "BLOCK_BYTES", 10)
     texts = ["x" * n for n in (0, 3, 25, 4, 4, 4, 0, 9, 1)] + [None]
