@@ -54,8 +54,8 @@ def process(files: DataFrame, fields: Mapping[str, FieldConfig], safe_file: bool
 
     Needs ``route, match_key, format, quality, target_dir, target_name,
     converted_name, content, mimetype, result_mimetype``.  Where a file could not
-    be converted its original is stored, and an upload that fails is tried once
-    more with the same bytes, both if ``safe_file`` keeps a backup.
+    be converted its original is stored, if it has bytes, and an upload that fails
+    is tried once more with the same bytes, which may be none; both if ``safe_file``.
     ``fall_back_on_write`` stores the original where a converted file could not
     be written.
     """
@@ -89,7 +89,7 @@ def process(files: DataFrame, fields: Mapping[str, FieldConfig], safe_file: bool
             try:
                 got = made[key].upload(data, Upload(name, mimetype, len(data)))
             except Exception:
-                if not backup:
+                if not safe_file:
                     raise
                 out["attempts"] = 2
                 got = made[key].upload(data, Upload(name, mimetype, len(data)))

@@ -155,6 +155,13 @@ def test_second_try_with_backup_only(spark, tmp_path):
     assert send(spark, PDF, tmp_path, safe=False, fail_first=1)[1] == SK
 
 
+@pytest.mark.parametrize("file, size", [((*PDF[:3], b""), 0), ((*PNG[:3], b""), 5)])
+def test_second_try_of_a_file_without_bytes(spark, tmp_path, file, size):
+    row, flags, _ = send(spark, file, tmp_path, safe=True, fail_first=1)
+    assert flags is None and (row["attempts"], row["cloudSize"]) == (2, size)
+    assert send(spark, file, tmp_path, safe=True, fail_first=2)[1] == SK
+
+
 def test_unsupported_format(spark):
     row, flags, errors = run(spark, ("image", "a.bmp", "image/bmp", b"BM"), {})
     assert flags == SK and row["outcome"] == "skipped" and "image/bmp" in row["error"] and set(errors) == {"message"}
