@@ -63,13 +63,18 @@ def from_landing(found: DataFrame) -> DataFrame:
 
 
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
-    """All files below a landing folder; the bytes are read only if they are used.
+    """All files below a landing folder; the bytes are read only if they are used."""
+    return from_landing(read_files(spark, path))
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """The binaryFile columns of all files below a folder, also of those without bytes.
 
     The source lists files without bytes but leaves them out of its rows; they
     are put back from the listing.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return from_landing(found.unionByName(_empty_files(spark, found)))
+    return found.unionByName(_empty_files(spark, found))
 
 
 def _empty_files(spark: SparkSession, found: DataFrame) -> DataFrame:
