@@ -117,8 +117,7 @@ FROM e""",
 SELECT arrival_idx, 'stored' AS outcome, size, size AS stored_size, md5(text) AS md5 FROM files""",
     "cloud_upload": f"""WITH {_FILES}
 SELECT arrival_idx, 'stored' AS outcome, CASE WHEN fieldname LIKE 'src1%' THEN 'src1*' ELSE '*' END AS match_key,
-  CASE WHEN fieldname LIKE 'src1%' THEN 'emulator' END AS "cloudProvider", CASE WHEN fieldname LIKE 'src1%' THEN 'corpus' END AS "cloudBucket",
-  CASE WHEN fieldname LIKE 'src1%' THEN size END AS "cloudSize", CASE WHEN fieldname LIKE 'src1%' THEN md5(text) END AS "cloudETag"
+  'emulator' AS "cloudProvider", 'corpus' AS "cloudBucket", size AS "cloudSize", md5(text) AS "cloudETag"
 FROM files""",
     "transcode": """WITH p AS (SELECT doc_id, md5(text || repeat(' ', (64 - octet_length(encode(text)) % 64) % 64)) AS m FROM documents)
 SELECT doc_id, m AS png, m AS tiff, m AS gif, true AS jpeg_is_close FROM p""",
