@@ -32,3 +32,13 @@ def test_both_ways_of_listing_agree(spark, landed):
     one = sources._empty_files(spark, f"{path}/r2/b/c/d/e.txt", found)
     assert [r.path for r in one.collect()] == [f"file:{landed}/r2/b/c/d/e.txt"]
     assert sources._empty_files(spark, f"{path}/r*", found).count() == 2
+
+
+def test_a_task_reads_many_small_files(spark, tmp_path):
+    for i in range(400):
+        (tmp_path / f"{i}.txt").write_bytes(b"x")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    found = sources.read_files(spark, f"file://{tmp_path}")
+    # Four tasks of the listing, and of the scan four; at Spark's own open cost it has 13.
+    assert found.rdd.getNumPartitions() <= 9 and found.count() == 400
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
